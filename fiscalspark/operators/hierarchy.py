@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalspark.session import materialise
+from fiscalspark.session import materialise, width
 
 NODE = ("code", "parent", "level")
 
@@ -62,7 +60,7 @@ def loops(residue: DataFrame) -> DataFrame:
     return jump.join(total, "name").select(*NODE, (F.col("total") - 1).alias("below"))
 
 
-def hierarchy(rows: DataFrame, keep_every: int = 6) -> DataFrame:
+def hierarchy(rows: DataFrame) -> DataFrame:
     """For every unit its root, depth, path and number of descendants, with loops reported.
 
     rows: see clean_links. Result: code, parent, level, root, depth, path, below, loop. A root has depth 1; path lists
@@ -70,20 +68,20 @@ def hierarchy(rows: DataFrame, keep_every: int = 6) -> DataFrame:
     '' and depth 0, and below counts the other units reachable downwards. Empty rows give none; extra columns are ignored.
 
     Leaves are peeled upwards (one round per level of height, each over what is left), then rounds are taken in
-    reverse, where a unit's parent is always placed before it. Lineage is cut every ``keep_every`` rounds.
+    reverse, where a unit's parent is always placed before it. The late rounds hold few units, so what is placed
+    grows from little to all as the peeling shrank from all to little. Lineage is cut and the number of partitions
+    kept after each round, so that every round runs the same small plan.
     """
     nodes = materialise(clean_links(rows))
     rounds, residue = peel(nodes)
-    placed = [f"{c} {t}" for c, t in (("root", "string"), ("depth", "int"), ("path", "string"), ("loop", "int"))]
-    names = [p.split()[0] for p in placed]
-    blank = {"root": F.lit(""), "depth": F.lit(0), "path": F.lit("")}
-    done: list[DataFrame] = []
+    n = width(rows.sparkSession)
+    placed = None
     if not residue.isEmpty():
-        done.append(materialise(loops(residue).select(*NODE, "below", *[blank[c].alias(c) for c in names[:3]], F.lit(1).alias("loop"))))
-    for k, leaves in enumerate(reversed(rounds)):
-        root = leaves.where("parent IS NULL").select(*NODE, "below", F.col("code").alias("root"), F.lit(1).alias("depth"), F.col("code").alias("path"), F.lit(0).alias("loop"))
-        if done:
-            above = reduce(DataFrame.unionByName, done).select(F.col("code").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in names])
+        placed = materialise(loops(residue).select(*NODE, "below", F.lit("").alias("root"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(1).alias("loop")))
+    for leaves in reversed(rounds):
+        new = leaves.where("parent IS NULL").select(*NODE, "below", F.col("code").alias("root"), F.lit(1).alias("depth"), F.col("code").alias("path"), F.lit(0).alias("loop"))
+        if placed is not None:
+            above = placed.select(F.col("code").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("path").alias("p_path"), F.col("loop").alias("p_loop"))
             free = F.col("p_loop") == 0
             under = (
                 leaves.where("parent IS NOT NULL")
@@ -97,13 +95,12 @@ def hierarchy(rows: DataFrame, keep_every: int = 6) -> DataFrame:
                     F.when(free, 0).otherwise(2).alias("loop"),
                 )
             )
-            root = root.unionByName(under)
-        done.append(root)
-        if (k + 1) % keep_every == 0:
-            done = [materialise(reduce(DataFrame.unionByName, done))]
-    if not done:
-        return nodes.select(*NODE, *[F.lit(None).cast(p.split()[1]).alias(p.split()[0]) for p in placed], F.lit(0).cast("long").alias("below")).limit(0)
-    return reduce(DataFrame.unionByName, done)
+            new = placed.unionByName(new).unionByName(under)
+        placed = materialise(new.coalesce(n))
+    if placed is None:
+        kinds = {"root": "string", "depth": "int", "path": "string", "loop": "int", "below": "long"}
+        return nodes.select(*NODE, *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).limit(0)
+    return placed
 
 
 def descendants(tree: DataFrame) -> DataFrame:
