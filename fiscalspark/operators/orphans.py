@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalspark.session import at_most, width
+from fiscalspark.session import at_most, ship, width
 
 #: A parent entry is packed as key * DAY_SPAN + day, days counted from DAY_ZERO days before 1970.
 DAY_SPAN, DAY_ZERO = 1 << 22, 1 << 20
@@ -101,7 +101,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows_per_range: int =
     time. Arrays of at most ``broadcast_rows`` entries (counted) go to every task; larger ones are sent by range and salt, so
     that a range or key which holds a large part of the references is split over many tasks.
     """
-    spark = refs.sparkSession
+    spark = ship(refs.sparkSession)
     record = (
         refs.where("clave IS NOT NULL AND key IS NOT NULL AND c IS NOT NULL")
         .groupBy("tabla", "clave")

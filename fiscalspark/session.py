@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ def build_session(app: str = "fiscalspark", cpus: int | None = None, memory: str
     )
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of the session, whatever their path; done once a context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_fiscalspark_shipped", False):
+        root = Path(__file__).resolve().parent
+        file = Path(tempfile.mkdtemp(prefix="fiscalspark-code-")) / "fiscalspark.zip"
+        with zipfile.ZipFile(file, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(file))
+        sc._fiscalspark_shipped = True
+    return spark
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: spark.checkpoint.dir where the cluster names one, else an own folder (tests)."""
     sc = spark.sparkContext
