@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalspark.llm import names
-from fiscalspark.session import ship
+from fiscalspark.session import ship, width
 
 #: Widest search in the tree; the exact check behind it allows fewer slips, by length.
 RADIUS = 6
@@ -148,7 +148,7 @@ def map_values(values: DataFrame, refs: DataFrame, shard_rows: int = 20_000) ->
     that fills a large part of the rows costs one search.
     """
     spark = ship(values.sparkSession)
-    asked = values.where("grp IS NOT NULL AND value IS NOT NULL").select("grp", "value").distinct()
+    asked = values.where("grp IS NOT NULL AND value IS NOT NULL").select("grp", "value").distinct().repartition(width(spark), "grp", "value")
     n = max(1, -(-refs.count() // shard_rows))
     parts = []
     for k in range(n):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscalspark.functions import codes
-from fiscalspark.llm import canonical, encode, match
+from fiscalspark.llm import canonical, encode, leakage, match, truncation
 from fiscalspark.session import salted_join
 from fiscalspark.sources.tables import table
 
@@ -66,5 +66,23 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(docs).select(F.col("id").alias("doc_id"), "ids")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_confidence, p7_ids)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "evaluacion"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "evaluacion").select("item_id", "conjunto")
+    hits = p8_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documentos"))
+    return items.join(hits, "item_id", "left").select("item_id", "conjunto", F.coalesce("documentos", F.lit(0)).alias("documentos"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_confidence, p7_ids, p8_found, p8_items, p9_found, p9_rates)}
 SQL: dict[str, str] = {}
