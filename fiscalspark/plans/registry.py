@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fiscalspark.plans import data_problems
+from fiscalspark.plans import data_problems, metrics
 
-FLAGSHIP = "p2_report"
-_MODULES = (data_problems,)
+FLAGSHIP = "m01_grado_seccion"
+_MODULES = (metrics, data_problems)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
