@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fiscalspark.plans import data_problems, metrics
+from fiscalspark.plans import alerts, catalog, checks, data_problems, metrics, views
 
 FLAGSHIP = "m01_grado_seccion"
-_MODULES = (metrics, data_problems)
+_MODULES = (metrics, views, alerts, checks, catalog, data_problems)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
