@@ -97,8 +97,9 @@ class Contexts:
         flat += ("^", "^", "^")
         if len(cache) > 500_000:
             cache.clear()
-        for w in set(flat) - cache.keys():
-            cache[w] = xxhash.xxh64_intdigest(w)
+        for w in set(flat):
+            if w not in cache:
+                cache[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat))
         pad, stop, line = (np.uint64(xxhash.xxh64_intdigest(x)) for x in "^.¶")
         self.bound = (h == pad) | (h == stop) | (h == line)
