@@ -29,7 +29,7 @@ def paged(df: DataFrame, order: list, page: int = 1, size: int = 200) -> dict:
     if page < 1 or not 1 <= size <= 1000:
         raise BadRequest("page from 1, size from 1 to 1000")
     total = df.count()
-    rows = df.orderBy(*order).offset((page - 1) * size).limit(size).collect()
+    rows = (df.orderBy(*order) if order else df).offset((page - 1) * size).limit(size).collect()
     return {"data": [r.asDict(recursive=True) for r in rows], "meta": {"page": page, "size": size, "total": total, "has_next": page * size < total}}
 
 

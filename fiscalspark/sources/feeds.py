@@ -127,7 +127,7 @@ def read_contracts(spark: SparkSession, path: str, captured: str) -> DataFrame:
             for p, content in zip(f["path"], f["content"]):
                 for name, body in members(p, bytes(content)):
                     rows = [r | {"path": name, "pos": i} for i, r in enumerate(feed_rows(body))]
-                    yield pd.DataFrame(rows).reindex(columns=names)
+                    yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, CONTRACT)
     num = lambda c: F.col(c).try_cast("double").alias(c)
@@ -207,7 +207,7 @@ def read_gazette(spark: SparkSession, summaries: str, provisions: str, captured:
     p = load(provisions).mapInPandas(bodies, "identificador string, tipo string, texto string")
     j = s.join(p, "identificador", "left").dropDuplicates(["identificador"])
     a = text.amount("texto")
-    date = F.coalesce(F.try_to_date("dia", F.lit("yyyyMMdd")), day("dia"))
+    date = F.coalesce(F.try_to_date("dia", "yyyyMMdd"), day("dia"))
     return j.select(
         "identificador", date.alias("fecha"), F.date_format(F.coalesce(date, F.lit(captured).cast("date")), "yyyy-MM").alias("periodo"), "seccion_boe", "departamento", "titulo", text.gazette_class("titulo", F.col("tipo")).alias("tipo_disposicion"),
         F.nullif(F.regexp_extract("texto", r"(?i)BDNS\s*\(\s*Identif\.?\s*\)\s*:?\s*(\d+)", 1), F.lit("")).alias("bdns_id"), a["importe"].alias("importe"), a["confianza"].alias("importe_confianza"), F.col("texto").alias("texto_bruto"), F.lit(captured).cast("date").alias("fecha_captura"),
@@ -258,7 +258,7 @@ def read_budget_services(spark: SparkSession, path: str, year: int) -> DataFrame
 
 def short_date(c: Column, this_year: int) -> Column:
     """S-24: DD/MM/YY with the century that does not lie in the future."""
-    d = F.try_to_date(c, F.lit("dd/MM/yy"))
+    d = F.try_to_date(c, "dd/MM/yy")
     return F.when(F.year(d) > this_year, F.add_months(d, -1200)).otherwise(d)
 
 
