@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalspark.llm import names
-from fiscalspark.session import ship, width
+from fiscalspark.session import materialise, ship, width
 
 #: Widest search in the tree; the exact check behind it allows fewer slips, by length.
 RADIUS = 6
@@ -145,7 +145,7 @@ def map_values(values: DataFrame, refs: DataFrame, shard_rows: int = 20_000) ->
 
     Each shard of at most ``shard_rows`` entries is sent to all tasks and answers for its entries with all within the
     threshold; the shards' answers are then merged by value. Only distinct values are looked up, so that a value
-    that fills a large part of the rows costs one search.
+    that fills a large part of the rows costs one search. The result is written once: several joins read it.
     """
     spark = ship(values.sparkSession)
     asked = values.where("grp IS NOT NULL AND value IS NOT NULL").select("grp", "value").distinct().repartition(width(spark), "grp", "value")
@@ -179,4 +179,4 @@ def map_values(values: DataFrame, refs: DataFrame, shard_rows: int = 20_000) ->
         found = found.unionByName(p)
     per = found.groupBy("grp", "value", "d").agg(F.count_distinct("ref").alias("n"), F.max("ref").alias("ref"))
     won = per.groupBy("grp", "value").agg(F.min(F.struct("d", "n", "ref")).alias("w")).select("grp", "value", F.when(F.col("w.n") == 1, F.col("w.ref")).otherwise(F.lit(0)).alias("ref"))
-    return asked.join(won, ["grp", "value"], "left").select("grp", "value", F.coalesce("ref", F.lit(0)).alias("ref"))
+    return materialise(asked.join(won, ["grp", "value"], "left").select("grp", "value", F.coalesce("ref", F.lit(0)).alias("ref")))
