@@ -71,9 +71,10 @@ def figure(c: Column) -> Column:
 
 def amount(c: Column | str) -> Column:
     """F-03: struct of the amount in a text and how much it can be trusted ('alta', 'media', 'sin_importe')."""
-    found = [(F.nullif(F.regexp_extract(_col(c), p, 1), F.lit("")), trust) for p, trust in AMOUNTS]
-    trust = F.coalesce(*[F.when(f.isNotNull(), t) for f, t in found], F.lit("sin_importe"))
-    return F.struct(figure(F.coalesce(*[f for f, _ in found])).alias("importe"), trust.alias("confianza"))
+    # an array of all three, so that each pattern is searched once however often the result is used
+    found = F.array(*[F.struct(F.regexp_extract(_col(c), p, 1).alias("f"), F.lit(trust).alias("t")) for p, trust in AMOUNTS])
+    first = F.get(F.filter(found, lambda x: x["f"] != ""), F.lit(0))
+    return F.struct(figure(first["f"]).alias("importe"), F.coalesce(first["t"], F.lit("sin_importe")).alias("confianza"))
 
 
 def first_class(n: Column, classes: tuple[tuple[str, str], ...], other: str) -> Column:
