@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalspark.session import ship
+from fiscalspark.session import ship, spread
 
 #: Folder of the public vocabulary files, and the name of the one that p7 asks for.
 TOKENIZERS = os.environ.get("FISCALSPARK_TOKENIZERS", "/opt/tokenizers")
@@ -163,7 +163,7 @@ def encode_corpus(docs: DataFrame, path: str | None = None, piece: int = PIECE)
 
     rows = docs.select(F.col("id").cast("long").alias("id"), "text")
     is_long = F.coalesce(F.length("text"), F.lit(0)) > 2 * piece
-    done = rows.where(~is_long).mapInArrow(short, "id long, ids array<int>")
+    done = spread(rows.where(~is_long)).mapInArrow(short, "id long, ids array<int>")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

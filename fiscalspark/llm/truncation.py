@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscalspark.session import materialise, salted_join, ship
+from fiscalspark.session import materialise, salted_join, ship, spread
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _BLOCK = re.compile(r"</?(?:p|br|div|li|ul|ol|h\d|tr|td|table)\b[^<>]*>", re.I)
@@ -168,7 +168,7 @@ def endings(docs: DataFrame) -> DataFrame:
             yield out
 
     rows = docs.select(F.col("doc_id").cast("long"), "source", "text", F.length("text").alias("chars"), F.octet_length("text").alias("bytes")).where("text IS NOT NULL AND length(trim(text)) > 0")
-    return rows.mapInPandas(read, ENDING)
+    return spread(rows).mapInPandas(read, ENDING)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c.counted()], names=["key", "goes_on", "stop", "line"])
 
     rows = docs.select("text").where("text IS NOT NULL AND length(trim(text)) > 0")
-    return rows.mapInArrow(read, "key long, goes_on long, stop long, line long")
+    return spread(rows).mapInArrow(read, "key long, goes_on long, stop long, line long")
 
 
 def poisson_tail(n: int, mean: float) -> float:
