@@ -78,8 +78,9 @@ def amount(c: Column | str) -> Column:
 
 
 def first_class(n: Column, classes: tuple[tuple[str, str], ...], other: str) -> Column:
-    """Name of the first class whose pattern the normalised text holds."""
-    return F.coalesce(*[F.when(n.rlike(p), name) for name, p in classes], F.lit(other))
+    """Name of the first class whose pattern the normalised text holds; the text is normalised once for all of them."""
+    named = F.transform(F.array(n), lambda v: F.coalesce(*[F.when(v.rlike(p), name) for name, p in classes], F.lit(other)))
+    return F.get(named, F.lit(0))
 
 
 def gazette_class(title: Column | str, official: Column | None = None) -> Column:
