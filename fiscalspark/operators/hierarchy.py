@@ -60,7 +60,7 @@ def loops(residue: DataFrame) -> DataFrame:
     return jump.join(total, "name").select(*NODE, (F.col("total") - 1).alias("below"))
 
 
-def hierarchy(rows: DataFrame) -> DataFrame:
+def hierarchy(rows: DataFrame, per_partition: int = 50_000) -> DataFrame:
     """For every unit its root, depth, path and number of descendants, with loops reported.
 
     rows: see clean_links. Result: code, parent, level, root, depth, path, below, loop. A root has depth 1; path lists
@@ -69,12 +69,12 @@ def hierarchy(rows: DataFrame) -> DataFrame:
 
     Leaves are peeled upwards (one round per level of height, each over what is left), then rounds are taken in
     reverse, where a unit's parent is always placed before it. The late rounds hold few units, so what is placed
-    grows from little to all as the peeling shrank from all to little. Lineage is cut and the number of partitions
-    kept after each round, so that every round runs the same small plan.
+    grows from little to all as the peeling shrank from all to little. Lineage is cut after each round, and the number
+    of partitions kept at one for ``per_partition`` units, so that every round runs the same small plan.
     """
     nodes = materialise(clean_links(rows))
     rounds, residue = peel(nodes)
-    n = width(rows.sparkSession)
+    n = min(width(rows.sparkSession), nodes.count() // per_partition + 1)
     placed = None
     if not residue.isEmpty():
         placed = materialise(loops(residue).select(*NODE, "below", F.lit("").alias("root"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(1).alias("loop")))
