@@ -23,6 +23,8 @@ RULES = [
     for by in (("m", "t"), ("m",), ("t",), ())
     if by or (part, kind) == ("entero", "nombre")
 ]
+#: Words of a unit's name beyond which it is found by single words instead of pairs, whose number would grow with the square.
+MANY = 12
 
 
 def core(text: str | None, town: str | None = None, section: str | None = None) -> list[tuple[str, list[str]]]:
@@ -40,15 +42,45 @@ def core(text: str | None, town: str | None = None, section: str | None = None)
     return list(out.items())
 
 
-def word_keys(w: list[str]) -> list[str]:
-    """Unordered pairs of the words of a short name, triples of a longer one: one of them outlives any two misspelt words."""
-    own = sorted(set(w))[:12] if len(w) <= 12 else sorted(set(w[:6] + w[-6:]))
-    out = []
-    if 2 <= len(own) <= 4:
-        out += [" ".join(c) for c in combinations(own, 2)]
-    if len(own) >= 4:
-        out += [" ".join(c) for c in combinations(own, 3)]
-    return out
+def edits(n: int) -> int:
+    """Edits that near() admits for a unit's name of n letters."""
+    return 1 if n < 9 else 3 if n < 16 else 4 if n < 26 else 6
+
+
+def segments(n: int) -> list[tuple[int, int]]:
+    """(start, length) of the edits(n) + 1 pieces of a name of n letters: so many edits leave one of them whole."""
+    k = edits(n) + 1
+    cuts = [n * i // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def unit_keys(s: str, w: list[str]) -> list[str]:
+    """Keys under which row_keys() looks for a unit's name: pairs of its words and single ones, and its pieces."""
+    own = sorted({x for x in w if len(x) > 3})
+    out = [f"g {len(s)} {i} {s[a : a + n]}" for i, (a, n) in enumerate(segments(len(s)))]
+    if len(own) > MANY:
+        return out + [f"l {x}" for x in own]
+    return out + [f"s {x}" for x in own] + [f"p {x} {y}" for x, y in combinations(own, 2)]
+
+
+def row_keys(s: str, known: list[str]) -> list[str]:
+    """Keys that every unit's name has that cascade() can accept for letters s with these known words, rarest first.
+
+    A name must hold all known words, so the two rarest (or the only one) bring up all there are. Without a known word the pieces
+    do: an edit before a piece shifts it, so it stands in s where the shifts before and behind it come to at most edits(n).
+    """
+    if len(known) > 1:
+        return [f"l {known[0]}", "p " + " ".join(sorted(known[:2]))]
+    if known:
+        return [f"l {known[0]}", f"s {known[0]}"]
+    out = set()
+    for n in range(max(1, len(s) - 6), len(s) + 7):
+        k, more = edits(n), len(s) - n
+        for i, (a, size) in enumerate(segments(n)):
+            for at in range(max(0, a - k), min(len(s) - size, a + k) + 1):
+                if abs(at - a) + abs(more - (at - a)) <= k:
+                    out.add(f"g {n} {i} {s[at : at + size]}")
+    return sorted(out)
 
 
 VARIANT = "s string, words array<string>, keys array<string>, part string"
@@ -65,7 +97,8 @@ def unit_names(units: DataFrame) -> DataFrame:
                 for part, text in (("entero", plain), ("cabeza", plain.split(" y ")[0] if " y " in plain else "")):
                     w = names.words(text)
                     if w:
-                        out.append((u, m, t, "".join(w), w, word_keys(w), part))
+                        s = "".join(w)
+                        out.append((u, m, t, s, w, unit_keys(s, w), part))
             yield pd.DataFrame(out, columns=["u", "m", "t", "s", "words", "keys", "part"])
 
     rows = units.where("u IS NOT NULL AND name IS NOT NULL").select("u", "name", F.col("m"), F.col("t")).distinct()
@@ -83,10 +116,36 @@ def row_names(rows: DataFrame) -> DataFrame:
                 for text in (a, b):
                     if text is not None:
                         seen.update(core(text, town, section))
-                out += [(sig, s, w, word_keys(w)) for s, w in seen.items()]
-            yield pd.DataFrame(out, columns=["sig", "s", "words", "keys"])
+                out += [(sig, s, w) for s, w in seen.items()]
+            yield pd.DataFrame(out, columns=["sig", "s", "words"])
+
+    return rows.mapInPandas(read, "sig long, s string, words array<string>")
+
+
+def candidates(rest: DataFrame, unit: DataFrame) -> DataFrame:
+    """sig, u, part, d, rm, m, rt and t of each reading and unit's name that differ by no more than near() admits, where
+    attributes do not contradict and the name holds all known words of the reading; complete, see row_keys()."""
+
+    @F.pandas_udf("array<string>")
+    def asked(s: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([row_keys(x, list(k)) for x, k in zip(s, known)])
+
+    left = rest.select("sig", "s", "known", "rm", "rt", F.explode(asked("s", "known")).alias("k"))
+    side = unit.select("u", F.col("s").alias("us"), F.col("words").alias("uw"), "m", "t", "part", F.explode("keys").alias("k"))
+    hits = left.join(side, "k").where(reduce(Column.__and__, [agrees(f"r{x}", x) for x in ("m", "t")]))
+    hits = hits.where(F.size(F.array_except("known", "uw")) == 0).where(near("s", "us"))
+    return hits.select("sig", "u", "part", F.levenshtein("s", "us").alias("d"), "rm", "m", "rt", "t").distinct()
+
 
-    return rows.mapInPandas(read, "sig long, s string, words array<string>, keys array<string>")
+def by_words(rest: DataFrame, unit: DataFrame) -> DataFrame:
+    """sig, u and rule by the first of the 'palabras' rules that has exactly one nearest unit; all rules read one set of candidates."""
+    rules = [(k, part, by) for k, (_, part, kind, by) in enumerate(RULES) if kind == "palabras"]
+    fits = [F.when(reduce(Column.__and__, [F.col(f"r{x}") == F.col(x) for x in by], F.col("part") == part), F.lit(k)) for k, part, by in rules]
+    ruled = candidates(rest, unit).select("sig", "u", "d", F.explode(F.array_compact(F.array(*fits))).alias("k"))
+    best = ruled.groupBy("sig", "k", "u").agg(F.min("d").alias("d")).groupBy("sig", "k", "d").agg(F.count("*").alias("n"), F.max("u").alias("u"))
+    nearest = best.groupBy("sig", "k").agg(F.min(F.struct("d", "n", "u")).alias("b")).where("b.n = 1")
+    first = nearest.groupBy("sig").agg(F.min(F.struct("k", F.col("b.u").alias("u"))).alias("r"))
+    return first.select("sig", "r.u", F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), F.col("r.k") + 1).alias("rule"))
 
 
 def attribute(rows: DataFrame, col: str, official: DataFrame) -> DataFrame:
@@ -123,28 +182,22 @@ def cascade(rows: DataFrame, units: DataFrame) -> DataFrame:
     attrs = salted_join(salted_join(once, section, ["section"], "left"), town, ["town"], "left").select("sig", F.col("section_official").alias("rm"), F.col("town_official").alias("rt"))
     unit = materialise(unit_names(units.select("u", "name", F.col("section").alias("m"), F.col("town").alias("t"))))
     read = row_names(once)
-    vocabulary = unit.select(F.explode("words").alias("w")).distinct().where("length(w) > 3")
-    known = read.select("sig", "s", F.explode("words").alias("w")).join(vocabulary, "w", "left_semi").groupBy("sig", "s").agg(F.collect_set("w").alias("known"))
+    vocabulary = unit.select(F.explode("words").alias("w")).where("length(w) > 3").groupBy("w").agg(F.count("*").alias("f"))
+    known = read.select("sig", "s", F.explode("words").alias("w")).join(vocabulary, "w").groupBy("sig", "s").agg(F.array_sort(F.collect_set(F.struct("f", "w"))).getField("w").alias("known"))
     rest = materialise(read.join(known, ["sig", "s"], "left").join(attrs, "sig").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))))
     won = []
     for rule, part, kind, by in RULES:
-        side = unit.where(F.col("part") == part).select("u", F.col("s").alias("us"), F.col("words").alias("uw"), F.col("keys").alias("uk"), "m", "t")
-        left = rest
-        if kind == "nombre":
-            left, side, on = left.withColumn("k", F.col("s")), side.withColumn("k", F.col("us")), ["k"]
-        else:
-            left, side, on = left.withColumn("k", F.explode("keys")), side.withColumn("k", F.explode("uk")), ["k"]
-        for x in by:
-            left, on = left.withColumn(f"k{x}", F.col(f"r{x}")), [*on, f"k{x}"]
-            side = side.withColumn(f"k{x}", F.col(x))
+        if kind != "nombre":
+            continue
+        on = ["k", *(f"k{x}" for x in by)]
+        left = rest.withColumns({"k": F.col("s"), **{f"k{x}": F.col(f"r{x}") for x in by}})
+        side = unit.where(F.col("part") == part).select("u", F.col("s").alias("us"), "m", "t").withColumns({"k": F.col("us"), **{f"k{x}": F.col(x) for x in by}})
         hits = left.join(side, on).where(reduce(Column.__and__, [agrees(f"r{x}", x) for x in ("m", "t")]))
-        if kind == "palabras":
-            hits = hits.where(near("s", "us") & (F.size(F.array_except("known", "uw")) == 0))
-        best = hits.select("sig", "u", F.levenshtein("s", "us").alias("d")).groupBy("sig", "u").agg(F.min("d").alias("d")).groupBy("sig", "d").agg(F.count("*").alias("n"), F.max("u").alias("u"))
-        hit = best.groupBy("sig").agg(F.min(F.struct("d", "n", "u")).alias("b")).where("b.n = 1").select("sig", F.col("b.u").alias("u"), F.lit(rule).alias("rule"))
-        hit = materialise(hit)
+        per = hits.groupBy("sig").agg(F.count_distinct("u").alias("n"), F.max("u").alias("u"))
+        hit = materialise(per.where("n = 1").select("sig", "u", F.lit(rule).alias("rule")))
         won.append(hit)
         rest = materialise(rest.join(hit, "sig", "left_anti"))
+    won.append(materialise(by_words(rest, unit)))
     found = reduce(DataFrame.unionByName, won).coalesce(8)
     per = salted_join(said.select("id", "sig"), found, ["sig"]).groupBy("id").agg(F.count_distinct("u").alias("n"), F.min("u").alias("u"), F.min("rule").alias("rule"))
     return per.where("n = 1").select("id", "u", "rule")

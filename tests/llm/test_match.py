@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from fiscalspark.llm import match
 
 UNITS = [
@@ -52,3 +54,26 @@ def test_empty_tables(spark):
     assert result(spark, []).collect() == []
     none = spark.createDataFrame([], "u string, name string, section string, town string")
     assert match.cascade(spark.createDataFrame([(1, "x", None, "m", "t", "")], ROWS), none).collect() == []
+
+
+def test_names_without_a_pair_or_triple_of_right_words(spark):
+    ministry = "Ministerio de Puertos y Faros"
+    many = "Mesa de " + " ".join(f"Nombre{x}" for x in "abcdefghijklmn")
+    units = spark.createDataFrame([("E1", "Gerencia de Bancales de Salinas", ministry, None), ("E2", "Astilleros", ministry, None), ("E3", "Oficina de Telares de Encinares Lagunas y Norias", ministry, None), ("E4", many, ministry, None)], "u string, name string, section string, town string")
+    rows = [(1, "Gerenacia de Bancles de Salinsa"), (2, "Astilelros"), (3, "Oficina de Telraes de Encinaers Lagnuas y Norias"), (4, many.replace("Nombreg", "Nomreg").replace("Mesa", "Msa")), (5, "Gerenacia de Bancles de Salimares")]
+    got = {r.id: r.u for r in match.cascade(spark.createDataFrame([(*r, None, ministry, None, "clash") for r in rows], ROWS), units).collect()}
+    assert got == {1: "E1", 2: "E2", 3: "E3", 4: "E4"}
+
+
+def test_keys_meet_wherever_near_admits_the_name():
+    rnd = random.Random(5)
+    for _ in range(3000):
+        w = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 8))) for _ in range(rnd.randrange(1, 7))]
+        s, us = "".join(w), "".join(w)
+        for _ in range(rnd.randrange(match.edits(len(us)) + 1)):
+            k = rnd.randrange(len(s) + 1)
+            s = s[:k] + rnd.choice(["", rnd.choice("abcde")]) + s[k + rnd.randrange(2) :]
+        keys = set(match.unit_keys(us, w))
+        assert keys & set(match.row_keys(s, []))
+        known = [x for x in dict.fromkeys(w) if len(x) > 3]
+        assert not known or keys & set(match.row_keys(s, rnd.sample(known, rnd.randrange(1, len(known) + 1))))
