@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscalspark.session import materialise, width
+from fiscalspark.session import materialise, salted_join, width
 
 NODE = ("code", "parent", "level")
+#: Where a unit on a loop or below one stands, see hierarchy.
+RING = {"ring": "string", "place": "long", "trail": "string"}
 
 
 def clean_links(rows: DataFrame) -> DataFrame:
@@ -44,9 +46,11 @@ def peel(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
 
 def loops(residue: DataFrame) -> DataFrame:
-    """Loop nodes with below = other units reachable downwards: the rest of the loop and all that hangs on it.
+    """Loop nodes with below = other units reachable downwards (the rest of the loop and all that hangs on it), ring = the
+    loop's name and place = links up from the unit to the one that names the loop.
 
-    The smallest code of a loop names it; it is found by pointer doubling, so a loop of n units takes log2(n) rounds.
+    The smallest code of a loop names it; it is found by pointer doubling, so a loop of n units takes log2(n) rounds. Places
+    are found alike, with the loop opened at its name.
     """
     jump = materialise(residue.select(*NODE, "below", F.col("parent").alias("to"), F.least("code", "parent").alias("name")))
     while True:
@@ -56,16 +60,23 @@ def loops(residue: DataFrame) -> DataFrame:
         jump = nxt.drop("moved")
         if done:
             break
-    total = jump.groupBy("name").agg(F.sum(F.col("below") + 1).alias("total"))
-    return jump.join(total, "name").select(*NODE, (F.col("total") - 1).alias("below"))
+    start = F.col("code") == F.col("name")
+    rank = materialise(jump.select(*NODE, "below", "name", F.when(start, F.col("code")).otherwise(F.col("parent")).alias("to"), F.when(start, 0).otherwise(1).cast("long").alias("place")))
+    while not rank.where("to <> name").isEmpty():
+        other = rank.select(F.col("code").alias("to"), F.col("to").alias("to2"), F.col("place").alias("place2"))
+        rank = materialise(rank.join(other, "to").select(*NODE, "below", "name", F.col("to2").alias("to"), (F.col("place") + F.col("place2")).alias("place")))
+    total = rank.groupBy("name").agg(F.sum(F.col("below") + 1).alias("total"))
+    return rank.join(total, "name").select(*NODE, (F.col("total") - 1).alias("below"), F.col("name").alias("ring"), "place")
 
 
 def hierarchy(rows: DataFrame, per_partition: int = 50_000) -> DataFrame:
     """For every unit its root, depth, path and number of descendants, with loops reported.
 
-    rows: see clean_links. Result: code, parent, level, root, depth, path, below, loop. A root has depth 1; path lists
-    the codes from root to unit joined by '/'. loop is 1 on a loop, 2 below one, else 0; with loop > 0 root and path are
-    '' and depth 0, and below counts the other units reachable downwards. Empty rows give none; extra columns are ignored.
+    rows: see clean_links. Result: code, parent, level, root, depth, path, below, loop, ring, place, trail. A root has depth 1;
+    path lists the codes from root to unit joined by '/'. loop is 1 on a loop, 2 below one, else 0; with loop > 0 root and path
+    are '' and depth 0, and below counts the other units reachable downwards. ring, place and trail are null with loop 0, else
+    the name of the loop, the place on it of the unit where the way up enters it, and the codes from that unit down
+    joined by '/'. Empty rows give none; extra columns are ignored.
 
     Leaves are peeled upwards (one round per level of height, each over what is left), then rounds are taken in
     reverse, where a unit's parent is always placed before it. The late rounds hold few units, so what is placed
@@ -75,14 +86,14 @@ def hierarchy(rows: DataFrame, per_partition: int = 50_000) -> DataFrame:
     nodes = materialise(clean_links(rows))
     rounds, residue = peel(nodes)
     n = min(width(rows.sparkSession), nodes.count() // per_partition + 1)
-    placed = None
+    placed, ringed = None, None
     if not residue.isEmpty():
-        placed = materialise(loops(residue).select(*NODE, "below", F.lit("").alias("root"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.lit(1).alias("loop")))
+        ringed = materialise(loops(residue))
+        placed = materialise(ringed.select(*NODE, "below", F.col("code").alias("root"), F.lit(1).alias("depth"), F.col("code").alias("path"), F.lit(1).alias("loop")))
     for leaves in reversed(rounds):
         new = leaves.where("parent IS NULL").select(*NODE, "below", F.col("code").alias("root"), F.lit(1).alias("depth"), F.col("code").alias("path"), F.lit(0).alias("loop"))
         if placed is not None:
             above = placed.select(F.col("code").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"), F.col("path").alias("p_path"), F.col("loop").alias("p_loop"))
-            free = F.col("p_loop") == 0
             under = (
                 leaves.where("parent IS NOT NULL")
                 .join(above, "parent")
@@ -90,20 +101,35 @@ def hierarchy(rows: DataFrame, per_partition: int = 50_000) -> DataFrame:
                     *NODE,
                     "below",
                     F.col("p_root").alias("root"),
-                    F.when(free, F.col("p_depth") + 1).otherwise(0).alias("depth"),
-                    F.when(free, F.concat_ws("/", "p_path", "code")).otherwise("").alias("path"),
-                    F.when(free, 0).otherwise(2).alias("loop"),
+                    (F.col("p_depth") + 1).alias("depth"),
+                    F.concat_ws("/", "p_path", "code").alias("path"),
+                    F.when(F.col("p_loop") == 0, 0).otherwise(2).alias("loop"),
                 )
             )
             new = placed.unionByName(new).unionByName(under)
         placed = materialise(new.coalesce(n))
     if placed is None:
-        kinds = {"root": "string", "depth": "int", "path": "string", "loop": "int", "below": "long"}
+        kinds = {"root": "string", "depth": "int", "path": "string", "loop": "int", "below": "long", **RING}
         return nodes.select(*NODE, *[F.lit(None).cast(t).alias(c) for c, t in kinds.items()]).limit(0)
-    return placed
+    if ringed is None:
+        return placed.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in RING.items()])
+    # so far the unit of a loop where a way up enters it stood as its root
+    free = F.col("loop") == 0
+    shown = [F.when(free, F.col("root")).otherwise("").alias("root"), F.when(free, F.col("depth")).otherwise(0).alias("depth"), F.when(free, F.col("path")).otherwise("").alias("path")]
+    entries = ringed.select(F.col("code").alias("root"), "ring", "place")
+    return placed.join(entries, "root", "left").select(*NODE, "below", *shown, "loop", "ring", "place", F.when(~free, F.col("path")).alias("trail"))
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for every unit and every unit above it, from the paths; loops have none."""
-    parts = tree.where("loop = 0").select(F.col("code").alias("descendant"), "depth", F.posexplode(F.split("path", "/")).alias("pos", "ancestor"))
-    return parts.select("ancestor", "descendant", (F.col("depth") - 1 - F.col("pos")).alias("distance")).where("distance > 0")
+    """(ancestor, descendant, distance) for every unit and every other unit above it: below of each unit is its number of rows.
+
+    Off the loops they come from the paths, below a loop from the trails to it. Every unit of a loop is above each other one and
+    above all that hangs on the loop, as many links up as lead to the loop and on along it.
+    """
+    way = F.when(F.col("loop") == 0, F.col("path")).otherwise(F.col("trail"))
+    parts = tree.withColumn("way", F.split(way, "/")).select(F.col("code").alias("descendant"), F.size("way").alias("depth"), F.posexplode("way").alias("pos", "ancestor"))
+    lined = parts.select("ancestor", "descendant", (F.col("depth") - 1 - F.col("pos")).alias("distance")).where("distance > 0")
+    on = tree.where("loop = 1").select("ring", F.col("code").alias("ancestor"), F.col("place").alias("to"), F.count("*").over(Window.partitionBy("ring")).alias("n"))
+    hung = tree.where("loop > 0").select("ring", "place", F.col("code").alias("descendant"), (F.size(F.split("trail", "/")) - 1).alias("up"))
+    round_ = salted_join(hung, on, ["ring"]).where(F.col("place") != F.col("to"))
+    return lined.unionByName(round_.select("ancestor", "descendant", (F.col("up") + F.pmod(F.col("place") - F.col("to"), F.col("n"))).cast("int").alias("distance")))

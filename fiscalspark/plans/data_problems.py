@@ -79,7 +79,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.descendants(unit_tree(spark, sf_dir)).select(F.col("ancestor").alias("dir3_cod"), F.col("descendant").alias("descendiente_cod"), F.col("distance").alias("distancia"))
+    # the SQL joins 'down', which has no unit on or below a loop; the operator itself gives their rows too
+    return hierarchy.descendants(unit_tree(spark, sf_dir).where("loop = 0")).select(F.col("ancestor").alias("dir3_cod"), F.col("descendant").alias("descendiente_cod"), F.col("distance").alias("distancia"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p4_report, p5_found, p5_descendants)}

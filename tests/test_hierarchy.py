@@ -57,3 +57,29 @@ def test_only_a_loop_and_a_chain(spark):
 
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_descendants_on_and_below_loops(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("r", None), ("s", "r"), ("x", "y"), ("y", "x")]
+    got = sorted(tuple(r) for r in descendants(hierarchy(spark.createDataFrame([(c, p, None, 1, "") for c, p in links], SCHEMA))).collect())
+    loop = [("a", "c", 1), ("a", "b", 2), ("b", "a", 1), ("b", "c", 2), ("c", "b", 1), ("c", "a", 2), ("x", "y", 1), ("y", "x", 1)]
+    assert got == sorted([*loop, ("a", "d", 1), ("b", "d", 2), ("c", "d", 3), ("d", "e", 1), ("a", "e", 2), ("b", "e", 3), ("c", "e", 4), ("r", "s", 1)])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_descendants_sum_to_below(spark, seed):
+    rnd = random.Random(seed)
+    names = [f"n{i}" for i in range(40)]
+    up = {c: rnd.choice([None, *names, *names]) for c in names}
+    up |= {f"k{i}": f"k{(i + 1) % 7}" for i in range(7)}
+    tree = hierarchy(spark.createDataFrame([(c, p, None, 1, "") for c, p in up.items()], SCHEMA)).cache()
+    want = set()
+    for c in up:
+        x, seen = c, [c]
+        while up[x] not in (None, x) and up[x] not in seen:
+            x = up[x]
+            want.add((x, c, len(seen)))
+            seen.append(x)
+    rows = [tuple(r) for r in descendants(tree).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {r.code: r.below for r in tree.collect() if r.below} == {a: sum(x[0] == a for x in want) for a in {x[0] for x in want}}
