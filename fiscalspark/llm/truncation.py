@@ -206,15 +206,25 @@ def length_limits(ends: DataFrame, reach: int = 20, fdr: float = 0.01) -> DataFr
     """source, unit ('chars' or 'bytes'), len, n, expected and q of the lengths at which more texts end than nearby.
 
     The hazard of a length is the share of the texts at least so long that end there. It is tested against the
-    pooled hazard of the ``reach`` lengths on either side (Poisson tail, half a text added); q controls the false discovery
+    pooled hazard of the ``reach`` lengths on either side, whether a text ends at them or not: the texts that end there by the sum
+    of those that are at least so long (Poisson tail, half a text added); q controls the false discovery
     rate over all lengths of all sources (Benjamini and Hochberg). Counts are aggregated first: windows run over lengths.
     """
     counts = ends.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("len")))).alias("x")).groupBy("source", "x.unit", "x.len").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("source", "unit").orderBy("len")
+    per = Window.partitionBy("source", "unit")
+    by = per.orderBy("len")
     near = by.rangeBetween(-reach, reach)
-    risk = F.sum("n").over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    hazards = counts.withColumn("risk", risk).withColumn("nearby", F.sum("n").over(near) - F.col("n")).withColumn("exposed", F.col("risk") * (2 * reach)).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(0))))
-    expected = F.col("risk") * (F.col("nearby") + 0.5) / F.col("exposed")
+    upto = lambda c, k: F.coalesce(F.sum(c).over(by.rangeBetween(Window.unboundedPreceding, k)), F.lit(0))
+    # texts of at least x characters, summed over x = 1 to y, are the sum of min(length, y): no axis of lengths is needed
+    summed = lambda y, k: upto(F.col("n") * F.col("len"), k) + y * (F.sum("n").over(per) - upto("n", k))
+    hazards = (
+        counts.withColumn("risk", F.sum("n").over(per) - upto("n", -1))
+        .withColumn("nearby", F.sum("n").over(near) - F.col("n"))
+        .withColumn("exposed", summed(F.col("len") + reach, reach) - summed(F.greatest(F.col("len") - reach - 1, F.lit(0)), -reach - 1) - F.col("risk"))
+        .withColumn("m", F.count("*").over(Window.partitionBy(F.lit(0))))
+    )
+    # without a text that reaches another length nearby there is nothing to test against
+    expected = F.try_divide(F.col("risk") * (F.col("nearby") + 0.5), F.col("exposed"))
 
     @F.pandas_udf("double")
     def tail(n: pd.Series, mean: pd.Series) -> pd.Series:

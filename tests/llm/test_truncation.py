@@ -76,3 +76,19 @@ def test_poisson_tail():
     for n, m in ((1, 0.5), (3, 0.01), (7, 3.0), (60, 40.0)):
         exact = 1 - sum(math.exp(-m) * m**k / math.factorial(k) for k in range(n))
         assert truncation.poisson_tail(n, m) == pytest.approx(exact, rel=1e-6)
+
+
+def test_hazards_are_tested_against_the_exposure_of_the_neighbours(spark):
+    # 'steep': hardly any text goes on beyond 100, where 9 of the last 11 end; 'short': lengths below 1 are none; 'one': no neighbour
+    lengths = {"steep": [*[x for x in range(80, 100) for _ in range(20)], *[100] * 9, 110, 115], "short": [1] * 40 + [2] * 4 + [3] * 5 + list(range(4, 40)), "one": [1] * 9}
+    ends = spark.createDataFrame([(s, n, n) for s, all_ in lengths.items() for n in all_], "source string, chars int, bytes int")
+    got = {(r.source, r.unit, r.len): r.expected for r in truncation.length_limits(ends, fdr=2.0).collect()}
+    want = {}
+    for s, all_ in lengths.items():
+        for x in set(all_):
+            window = [y for y in range(max(1, x - 20), x + 21) if y != x]
+            nearby, exposed = sum(all_.count(y) for y in window), sum(sum(z >= y for z in all_) for y in window)
+            mean = sum(z >= x for z in all_) * (nearby + 0.5) / exposed if exposed else None
+            if mean is not None and all_.count(x) > 2 and all_.count(x) > mean:
+                want |= {(s, unit, x): pytest.approx(mean) for unit in ("chars", "bytes")}
+    assert got == want and ("one", "chars", 1) not in got and ("steep", "chars", 100) in got
