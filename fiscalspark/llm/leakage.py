@@ -59,7 +59,8 @@ def kind(w: str, names: set[str] | dict) -> str:
 
 
 class Items:
-    """Template windows of a block of items: template to slot values to places."""
+    """Template windows of a block of items: template to slot values to places. Words that a text divides or runs together count
+    as the item has them, so passages bring up windows as if they were written right."""
 
     def __init__(self, items: list[tuple[int, str]]):
         read = [(i, *words_of(t)) for i, t in items]
@@ -74,6 +75,12 @@ class Items:
         for n, (w, k) in enumerate(zip(self.words, self.kinds)):
             for p in range(len(w) - WINDOW + 1):
                 self.windows[tuple(k[p : p + WINDOW])][self.slots(w, k, p)].append((n, p))
+        # words and pairs of neighbours, by which divided words of a text are rejoined and words run together are split
+        self.known = {x for w in self.words for x in w}
+        self.pairs: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        for w in self.words:
+            for x, y in zip(w, w[1:]):
+                self.pairs[x + y].add((x, y))
         # a window of many items is a turn of phrase: it counts for an item that others have brought up, found by item then
         self.windows = {k: {x: at if len(at) <= SHARED else by_item(at) for x, at in v.items()} for k, v in self.windows.items()}
 
@@ -81,6 +88,46 @@ class Items:
     def slots(w: list[str], k: list[str], p: int) -> tuple:
         return tuple(x for x, y in zip(w[p : p + WINDOW], k[p : p + WINDOW]) if y in "#@$")
 
+    def readings(self, w: list[str]) -> dict[int, list[tuple[tuple[str, ...], int]]]:
+        """Places of a text where its words can be read otherwise: words of an item, and the words of the text that they take."""
+        out: dict[int, list[tuple[tuple[str, ...], int]]] = {}
+        known, pairs = self.known, self.pairs
+        for p, (x, y, z) in enumerate(zip(w, [*w[1:], ""], [*w[2:], "", ""])):
+            if y:
+                if x + y in known:
+                    out.setdefault(p, []).append(((x + y,), 2))
+                if z and x + y + z in known:
+                    out.setdefault(p, []).append(((x + y + z,), 3))
+            if x in pairs:
+                out.setdefault(p, []).extend((pair, 1) for pair in sorted(pairs[x]))
+        return out
+
+    def reread(self, w: list[str]) -> Iterator[tuple[int, tuple, tuple]]:
+        """Place, template and slots of every window that has a divided word or one run together. A pair may reach
+        over either end of a window."""
+        other = self.readings(w)
+        seen = set()
+        for p in sorted({at for q in other for at in range(max(0, q - 3 * (WINDOW - 1)), q + 1)}):
+            todo: list[tuple[tuple[str, ...], int, bool]] = [((), p, False)]
+            while todo:
+                own, at, changed = todo.pop()
+                if len(own) >= WINDOW:
+                    if changed and (p, own[:WINDOW]) not in seen:
+                        seen.add((p, own[:WINDOW]))
+                        yield p, *self.template(own[:WINDOW])
+                    continue
+                if at >= len(w):
+                    continue
+                todo.append(((*own, w[at]), at + 1, changed))
+                for got, taken in other.get(at, ()):
+                    todo.append(((*own, *got), at + taken, True))
+                    if not own and len(got) == 2:
+                        todo.append((got[1:], at + taken, True))
+
+    def template(self, own: tuple[str, ...]) -> tuple[tuple, tuple]:
+        k = [kind(x, self.names) for x in own]
+        return tuple(k), self.slots(own, k, 0)
+
     def leaked(self, text: str) -> list[int]:
         """Ids of the items of which text holds a passage."""
         w, big = words_of(text)
@@ -103,10 +150,17 @@ class Items:
                     else:
                         for n, q in at:
                             hits[n].append((p, q))
+        for p, template, slots in self.reread(w):
+            at = get(template, {}).get(slots)
+            if isinstance(at, dict):
+                phrases.append((p, at))
+            else:
+                for n, q in at or ():
+                    hits[n].append((p, q))
         out = []
         for n, found in hits.items():
             found += [(p, q) for p, at in phrases for q in at.get(n, ())]
-            if len(found) >= COVERED - WINDOW + 1 and self._holds(n, sorted(found), w, k, big):
+            if self._holds(n, sorted(found), w, k, big):
                 out.append(self.ids[n])
         return out
 
@@ -115,7 +169,7 @@ class Items:
         for hit in [*found, (1 << 40, 0)]:
             if stretch and hit[0] - stretch[-1][0] > GAP:
                 if promising(stretch):
-                    lo, hi = max(0, stretch[0][0] - GAP), stretch[-1][0] + WINDOW + GAP
+                    lo, hi = max(0, stretch[0][0] - GAP), stretch[-1][0] + 3 * WINDOW + GAP
                     if passage(self.words[n], self.kinds[n], w[lo:hi], k[lo:hi], big[lo:hi]):
                         return True
                 stretch = []

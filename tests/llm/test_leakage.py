@@ -78,3 +78,27 @@ def test_against_brute_force_on_random_changes():
         text = "El centro directivo propone revisar las tarifas. " + " ".join(w) + " Fin de la nota."
         agree += (7 in index.leaked(text)) == (plain_window(ITEM, text) <= leakage.EDITS)
     assert agree >= 147
+
+
+def divided(at, w):
+    return " ".join(x[:2] + " " + x[2:] if k in at else x for k, x in enumerate(w))
+
+
+def test_passages_with_divided_words_in_every_run():
+    index = leakage.Items([(7, ITEM), (8, OTHER)])
+    w = W[3:25]
+    assert index.leaked("Nota. " + divided({5, 10, 15}, w[:20]) + " fin.") == [7]
+    assert index.leaked("Nota. " + divided({4}, [*w[:9], "luego", *w[10:14], "casi", *w[15:20]]) + " fin.") == [7]
+    for every in (1, 2, 3, 4):  # no four words in a row are whole
+        at = {k for k in range(len(w)) if k % every == 0 and len(leakage.words_of(w[k])[0][0]) > 3}
+        assert index.leaked("Nota. " + divided(at, w) + " fin.") == [7], every
+    together = [w[k] + (w[k + 1] if k + 1 < len(w) else "") for k in range(0, len(w), 2)]
+    assert index.leaked("Nota. " + " ".join(together) + " fin.") == [7]
+    assert index.leaked("Nota. " + divided({5, 10, 15}, [*w[:6], "luego", *w[7:12], "casi", *w[13:16], "mas", *w[17:20]]) + " fin.") == []
+
+
+def test_figures_set_with_blanks():
+    item = "El gasto de " + " ".join(f"{n}.{n + 400} euros para vados, {n + 17}.{n + 503} de senda {x}," for n, x in zip((21, 34, 57), ("uno", "dos", "tres")))
+    index = leakage.Items([(7, item)])
+    assert index.leaked(item.replace(".", " ")) == [7]
+    assert index.leaked(item.replace(".4", ".9").replace(".", " ")) == []
