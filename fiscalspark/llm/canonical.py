@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from fiscalspark.llm import names
 from fiscalspark.session import materialise, ship, width
 
-#: Widest search in the tree; the exact check behind it allows fewer slips, by length.
-RADIUS = 6
-
 
 class Tree:
     """BK-tree: under the triangle inequality a search skips each branch that cannot hold an entry within the radius."""
@@ -123,7 +120,8 @@ class Group:
 
     def _near(self, tree: Tree, form: str, text: str, best: dict[int, int], cut: bool = False) -> None:
         most = allowed(len(form))
-        for _, key, refs in tree.within(form, min(RADIUS, 2 * most)):
+        # a swap is one slip and two letters exchanged
+        for _, key, refs in tree.within(form, 2 * most):
             d = names.slips(form, key)
             if d > most or (d and not cut and self._other_word(text, key)):
                 continue

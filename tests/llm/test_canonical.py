@@ -73,3 +73,7 @@ def test_distance_and_tree_against_brute_force():
             got = {(d, w) for d, w, _ in tree.within(q, radius)}
             assert got == {(d, w) for w in words if (d := brute_levenshtein(q, w)) <= radius}
     assert names.slips("abcd", "abdc") == 1 and names.close("abcd", "abdc") == 2
+
+
+def test_four_swaps_in_a_long_name(spark):
+    assert found(spark, [(7, "Direccion Geenral de Musoes y Fometno"), (7, "Driección Geenral de Musoes y Fometno"), (7, "Driección Geenral de Musoes y Fometo")]) == {(7, "Direccion Geenral de Musoes y Fometno"): 3, (7, "Driección Geenral de Musoes y Fometno"): 3, (7, "Driección Geenral de Musoes y Fometo"): 3}
