@@ -72,6 +72,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def spread_by(df: DataFrame, *cols: str) -> DataFrame:
+    """df by the hash of the columns in as many partitions as the session shuffles into. The number is asked for by an expression
+    of its own: a plain repartition by columns that df is grouped by already is dropped from the plan, and adaptive execution may
+    then put small rows with much Python work before them into one task."""
+    n = max(width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, F.pmod(F.xxhash64(*cols), F.lit(n)))
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
