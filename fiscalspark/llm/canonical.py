@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiscalspark.llm import names
-from fiscalspark.session import materialise, ship, width
+from fiscalspark.session import materialise, salted_join, ship, spread_by
+
+#: How a value names an entry, best first: short name, name as it is, name with slips, name that was cut.
+LETTERS, EXACT, NEAR, CUT = range(4)
 
 
 class Tree:
@@ -60,121 +63,168 @@ def allowed(length: int) -> int:
 
 
 class Group:
-    """The entries of one group (all of the top level, or those below one entry), as far as a shard holds them."""
+    """The entries of one group (all of the top level, or those below one entry), as far as a shard holds them.
+
+    What an entry answers to a value depends on the two alone, never on the other entries of the shard: a short form is written
+    out with a word of the entry that answers, and whether a word is one of the list is asked of the whole list (see Shard).
+    """
 
-    def __init__(self, entries: list[tuple[int, str, str | None]], vocabulary: set[str], remarks: tuple[str, ...]):
-        self.keys = [(key, ref) for ref, n, _ in entries for key in dict.fromkeys((names.squeeze(names.plain(n)), run_together(names.plain(n))))]
-        self.words = {key: set(names.words(names.plain(n))) for _, n, _ in entries for key in (names.squeeze(names.plain(n)), run_together(names.plain(n)))}
+    def __init__(self, entries: list[tuple[int, str, str | None]], remarks: tuple[str, ...]):
+        self.keys, self.words, self.spelt, self.remarks = [], {}, {}, remarks
         self.letters: dict[str, set[int]] = defaultdict(set)
-        for ref, _, short in entries:
+        self.exact: dict[str, set[int]] = defaultdict(set)
+        for ref, name, short in entries:
+            text = names.plain(name)
+            self.spelt[ref] = names.words(text)
+            for key in dict.fromkeys((names.squeeze(text), run_together(text))):
+                self.keys.append((key, ref))
+                self.exact[key].add(ref)
             if short:
                 self.letters[names.squeeze(names.plain(short), False)].add(ref)
-        self.exact: dict[str, set[int]] = defaultdict(set)
-        for k, ref in self.keys:
-            self.exact[k].add(ref)
+        self.words = {ref: set(w) for ref, w in self.spelt.items()}
         self.tree, self.cut = Tree(self.keys), {}
-        spelt = [names.words(names.plain(n)) for _, n, _ in entries]
-        self.first = sorted({w[0] for w in spelt if w})
-        self.turned = [("".join(w[k:] + w[:k]), ref) for w, (ref, _, _) in zip(spelt, entries) for k in (1, 2, 3) if k < len(w)]
-        self.vocabulary, self.remarks = vocabulary, remarks
-
-    def find(self, value: str) -> list[tuple[int, int]]:
-        """(slips, reference) of the entries that value can stand for; 0 for a name that is spelt right."""
-        texts = [x for t in names.readings(value, self.remarks) for x in self._written_out(t)]
-        for t in texts:
+        self.first = sorted({w[0] for w in self.spelt.values() if w})
+        self.long: dict[str, set[str]] = defaultdict(set)
+        for w in self.words.values():
+            for x in w:
+                if len(x) > 4:
+                    self.long[x[0]].add(x)
+        self.turned = [("".join(w[k:] + w[:k]), ref) for ref, w in self.spelt.items() for k in (1, 2, 3) if k < len(w)]
+
+    def find(self, value: str, known: set[str] | None = None) -> list[tuple[int, int, int, list[str]]]:
+        """(kind, slips, reference, words) of the entries that value can stand for; words are those of a reading that the entry
+        lacks: an entry is none where one of them is a word of the list. With known, all words of the list, that is seen to
+        here. What is certain to be beaten by another answer of this group is left out."""
+        out: set[tuple[int, int, int, tuple[str, ...]]] = set()
+        readings = names.readings(value, self.remarks)
+        for i, t in enumerate(readings):
             s = t.replace(".", "").replace(" ", "")
             if s in self.letters and len(s) <= 6:
-                return [(0, r) for r in self.letters[s]]
-        forms = list(dict.fromkeys((f, t) for t in texts for f in (names.squeeze(t), names.squeeze(t, False), run_together(t))))
-        for f, _ in forms:
-            if f in self.exact:
-                return [(0, r) for r in self.exact[f]]
-        best: dict[int, int] = {}
-        for f, t in forms:
+                out.update((LETTERS, i, r, ()) for r in self.letters[s])
+        forms: dict[tuple[str, str, str | None], int] = {}
+        for i, t in enumerate(readings):
+            for j, (text, need) in enumerate(self._written_out(t)):
+                for k, f in enumerate((names.squeeze(text), names.squeeze(text, False), run_together(text))):
+                    forms.setdefault((f, text, need), i * 8 + (need is not None) * 4 + k)
+        for (f, _, need), rank in forms.items():
+            out.update((EXACT, rank, r, ()) for r in self.exact.get(f, ()) if need is None or need in self.words[r])
+        if out:
+            best = min(x[:2] for x in out)
+            return [(*x[:3], list(x[3])) for x in out if x[:2] == best]
+        for f, text, need in forms:
             if len(f) >= 5:
-                self._near(self.tree, f, t, best)
-        if not best and len(value) >= 20:
-            for f, t in forms:
+                for d, r in self._near(self.tree, f, need):
+                    other = tuple(w for w in names.words(text) if d and len(w) > 3 and w not in self.words[r])
+                    if known is None or not any(w in known for w in other):
+                        out.add((NEAR, d, r, other if known is None else ()))
+        if not any(not x[3] for x in out) and len(value) >= 20:
+            for f, _, need in forms:
                 n = len(f)
                 if n >= 15:
                     if n not in self.cut:
-                        self.cut[n] = Tree((k[:n], r) for k, r in self.keys + self.turned if n < len(k) <= n * 1.6)
-                    self._near(self.cut[n], f, t, best, cut=True)
-        return [(d, r) for r, d in best.items()]
-
-    def _written_out(self, text: str) -> list[str]:
-        """text, and text with a short form at its front written out as each first word of an entry that it can stand for."""
-        m = re.match(r"^(?:excmo|exmo|ilmo)?\.?\s*([a-z]+)\.\s*(.*)$", text)
-        out = [text, re.sub(r"^(?:excmo|exmo|ilmo)\.?\s+", "", text)] if text.startswith(("excmo", "exmo", "ilmo")) else [text]
-        if m and m.group(1) not in names.SHORT:
-            w, rest = m.groups()
-            out += [f"{x} {rest}" for x in self.first if x.startswith(w)]
-            if len(w) > 2:
-                longer = {v.split()[0] for k, v in names.SHORT.items() if len(k) > 2 and names.slips(w, k) <= 1}
-                out += [f"{x} {rest}" for x in self.first if x in longer or names.slips(w, x[: len(w)]) <= 1]
-        elif m and m.group(0) != text:
-            out.append(f"{m.group(1)}. {m.group(2)}")
-        if len(out) == 1 and "excmo" not in text and re.match(r"^e[a-z]{3,4}\.\s+ayto\.", text):
-            out.append(text.split(" ", 1)[1])
+                        self.cut[n] = Tree((k[:n], r) for k, r in self.keys + self.turned if len(k) > n)
+                    out.update((CUT, d, r, ()) for d, r in self._near(self.cut[n], f, need))
+        return [(*x[:3], list(x[3])) for x in out]
+
+    def _written_out(self, text: str) -> list[tuple[str, str | None]]:
+        """text, and text with a dotted short form written out as each word of an entry that it can stand for, with that word."""
+        m = re.match(r"^([a-z]+)\.?\s+(.*)$", text)
+        titled = bool(m) and (m.group(1) in names.HONORIFICS or (text[m.end(1)] == "." and any(names.slips(m.group(1), h) <= 1 for h in names.HONORIFICS)))
+        texts = [text, m.group(2)] if titled else [text]
+        out: list[tuple[str, str | None]] = [(t, None) for t in texts]
+        for t in texts:
+            m = re.match(r"^([a-z]+)\.\s*(.*)$", t)
+            if m and m.group(1) not in names.SHORT:
+                w, rest = m.groups()
+                out += [(f"{x} {rest}", x) for x in self.first if x.startswith(w)]
+                if len(w) > 2:
+                    longer = {v.split()[0] for k, v in names.SHORT.items() if len(k) > 2 and names.slips(w, k) <= 1}
+                    out += [(f"{x} {rest}", x) for x in self.first if x in longer or names.slips(w, x[: len(w)]) <= 1 or names.shortens(w, x)]
+            for m in re.finditer(r"(?<=[\s/])([a-z]{3,})\.(?=.)", t):
+                w = m.group(1)
+                if w not in names.SHORT and w not in self.long[w[0]]:
+                    out += [(f"{t[: m.start()]}{x}{t[m.end() :]}", x) for x in sorted(self.long[w[0]]) if names.shortens(w, x)]
         return list(dict.fromkeys(out))
 
-    def _near(self, tree: Tree, form: str, text: str, best: dict[int, int], cut: bool = False) -> None:
+    def _near(self, tree: Tree, form: str, need: str | None) -> Iterator[tuple[int, int]]:
         most = allowed(len(form))
         # a swap is one slip and two letters exchanged
         for _, key, refs in tree.within(form, 2 * most):
             d = names.slips(form, key)
-            if d > most or (d and not cut and self._other_word(text, key)):
-                continue
-            for r in refs:
-                best[r] = min(d + cut, best.get(r, 99))
+            if d <= most:
+                yield from ((d, r) for r in refs if need is None or need in self.words[r])
+
+
+class Shard:
+    """Entries of a shard as they are sent to the tasks; a worker process builds each group once, whatever tasks it runs."""
 
-    def _other_word(self, text: str, key: str) -> bool:
-        """Whether text holds a word of the list that the entry does not have: then it names something else."""
-        own = self.words.get(key, set())
-        return any(len(w) > 3 and w in self.vocabulary and w not in own for w in names.words(text))
+    def __init__(self, rows: list[tuple[int, int, str, str | None, tuple[str, ...]]], known: set[str] | None):
+        self.known = known
+        self.rows: dict[int, list[tuple[int, str, str | None]]] = defaultdict(list)
+        self.remarks: dict[int, tuple[str, ...]] = {}
+        for grp, ref, name, short, remark in rows:
+            self.rows[grp].append((ref, name, short))
+            self.remarks[grp] = tuple(remark or ())
+        self.groups: dict[int, Group] = {}
+
+    def find(self, grp: int, value: str) -> list[tuple[int, int, int, list[str]]]:
+        if grp not in self.rows:
+            return []
+        if grp not in self.groups:
+            self.groups[grp] = Group(self.rows[grp], self.remarks[grp])
+        return self.groups[grp].find(value, self.known)
+
+
+def list_words(refs: DataFrame) -> DataFrame:
+    """w: each word of more than three letters of any entry."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"w": sorted({w for n in f["name"] for w in names.words(names.plain(n)) if len(w) > 3})}, dtype=object)
+
+    return refs.select("name").where("name IS NOT NULL").distinct().mapInPandas(read, "w string").distinct()
+
+
+FOUND = "grp long, value string, kind int, d int, ref long, other array<string>"
 
 
 def map_values(values: DataFrame, refs: DataFrame, shard_rows: int = 20_000) -> DataFrame:
     """grp, value and ref (0: no entry) of each distinct value.
 
     values: grp long, value string. refs: grp long, ref long, name string, short string, remark array<string> (what people
-    put behind a name of the group). An entry is looked for within the value's group. Null values and groups are left
-    out; empty, blank and very long values are values like others; two entries equally near give none.
-
-    Each shard of at most ``shard_rows`` entries is sent to all tasks and answers for its entries with all within the
-    threshold; the shards' answers are then merged by value. Only distinct values are looked up, so that a value
-    that fills a large part of the rows costs one search. The result is written once: several joins read it.
+    put behind a name of the group, the same in all rows of it). An entry is looked for within the value's group. Null values
+    and groups are left out; empty, blank and very long values are values like others; two entries equally near give none.
+
+    Each shard of at most about ``shard_rows`` entries is sent to all tasks and answers for its entries with all within the
+    threshold; the shards' answers are then merged by value: a short name goes before a name as it is, then names with slips, then
+    names that were cut. With several shards the words of the list stay distributed and bar an answer after the merge; the result
+    is the same for any number of shards. Only distinct values are looked up, so that a value that fills a large part of the
+    rows costs one search. The result is written once: several joins read it.
     """
     spark = ship(values.sparkSession)
-    asked = values.where("grp IS NOT NULL AND value IS NOT NULL").select("grp", "value").distinct().repartition(width(spark), "grp", "value")
+    asked = spread_by(values.where("grp IS NOT NULL AND value IS NOT NULL").select("grp", "value").distinct(), "grp", "value")
     n = max(1, -(-refs.count() // shard_rows))
     parts = []
     for k in range(n):
         block = refs.where(F.pmod(F.xxhash64("ref"), F.lit(n)) == k).select("grp", "ref", "name", "short", "remark").where("name IS NOT NULL").collect()
-        vocabulary = {w for r in block for w in names.words(names.plain(r["name"])) if len(w) > 3}
-        sent = spark.sparkContext.broadcast(([tuple(r) for r in block], vocabulary))
+        known = {w for r in block for w in names.words(names.plain(r["name"])) if len(w) > 3} if n == 1 else None
+        sent = spark.sparkContext.broadcast(Shard([tuple(r) for r in block], known))
 
         def look(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            rows, vocabulary = sent.value
-            by = defaultdict(list)
-            remarks: dict[int, tuple[str, ...]] = {}
-            for grp, ref, name, short, remark in rows:
-                by[grp].append((ref, name, short))
-                remarks[grp] = tuple(remark or ())
-            groups: dict[int, Group] = {}
+            shard = sent.value
             for frame in frames:
-                out = []
-                for grp, value in zip(frame["grp"], frame["value"]):
-                    if grp in by:
-                        if grp not in groups:
-                            groups[grp] = Group(by[grp], vocabulary, remarks[grp])
-                        out += [(grp, value, d, ref) for d, ref in groups[grp].find(value)]
-                yield pd.DataFrame(out, columns=["grp", "value", "d", "ref"])
-
-        parts.append(asked.mapInPandas(look, "grp long, value string, d int, ref long"))
+                out = [(grp, value, *hit) for grp, value in zip(frame["grp"], frame["value"]) for hit in shard.find(grp, value)]
+                yield pd.DataFrame(out, columns=["grp", "value", "kind", "d", "ref", "other"])
+
+        parts.append(asked.mapInPandas(look, FOUND))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    per = found.groupBy("grp", "value", "d").agg(F.count_distinct("ref").alias("n"), F.max("ref").alias("ref"))
-    won = per.groupBy("grp", "value").agg(F.min(F.struct("d", "n", "ref")).alias("w")).select("grp", "value", F.when(F.col("w.n") == 1, F.col("w.ref")).otherwise(F.lit(0)).alias("ref"))
+    if n > 1:
+        found = materialise(found)
+        hit = ["grp", "value", "kind", "d", "ref", "other"]
+        barred = salted_join(found.select(*hit, F.explode("other").alias("w")), materialise(list_words(refs)), ["w"], "left_semi").select(*hit).distinct()
+        found = found.join(barred, hit, "left_anti")
+    per = found.groupBy("grp", "value", "kind", "d").agg(F.min("ref").alias("lo"), F.max("ref").alias("ref"))
+    won = per.groupBy("grp", "value").agg(F.min(F.struct("kind", "d", "lo", "ref")).alias("w")).select("grp", "value", F.when(F.col("w.lo") == F.col("w.ref"), F.col("w.ref")).otherwise(F.lit(0)).alias("ref"))
     return materialise(asked.join(won, ["grp", "value"], "left").select("grp", "value", F.coalesce("ref", F.lit(0)).alias("ref")))

@@ -10,12 +10,14 @@ SHORT = {
     "mº": "ministerio", "min": "ministerio", "minist": "ministerio", "dg": "direccion general", "dir": "direccion", "direcc": "direccion",
     "gral": "general", "sec": "secretaria", "secret": "secretaria", "sria": "secretaria", "sg": "secretaria general", "sdg": "subdireccion general", "subdir": "subdireccion",
     "inst": "instituto", "patr": "patronato", "ger": "gerencia", "ag": "agencia", "interv": "intervencion", "conc": "concejalia",
-    "concej": "concejalia", "ppptos": "presupuestos", "subsec": "subsecretaria", "ayto": "ayuntamiento", "dip": "diputacion", "gab": "gabinete",
+    "concej": "concejalia", "pptos": "presupuestos", "subsec": "subsecretaria", "ayto": "ayuntamiento", "dip": "diputacion", "gab": "gabinete",
     "tec": "tecnica", "deleg": "delegacion", "insp": "inspeccion", "inspecc": "inspeccion", "ofic": "oficina", "of": "oficina", "serv": "servicio",
-    "comis": "comisaria", "ctro": "centro", "cons": "consejo", "svcio": "servicio", "svo": "servicio", "sv": "servicio", "cto": "centro", "cent": "centro", "mancom": "mancomunidad", "univ": "universidad",
+    "comis": "comisaria", "ctro": "centro", "cons": "consejo", "cent": "centro", "mancom": "mancomunidad", "univ": "universidad",
 }
 #: Words that join others and that people leave out or exchange.
 JOINING = {"de", "del", "d", "la", "las", "el", "los", "y", "e", "i"}
+#: Titles before the name of a town's council.
+HONORIFICS = ("excmo", "exmo", "ilmo")
 #: Remarks that people put behind a name.
 REMARKS = ("organo gestor", "servicios centrales", "estado", "autonomica", "local", "otros", "capital")
 
@@ -101,17 +103,25 @@ def slips(a: str, b: str) -> int:
     return row[-1]
 
 
+def shortens(w: str, full: str) -> bool:
+    """Whether w can be a short form of full: its letters, those written twice once, stand in full in their order, the first in front."""
+    if len(w) < 3 or w[:1] != full[:1] or len(full) < len(w) + 2:
+        return False
+    rest = iter(full)
+    return all(c in rest for c, before in zip(w, " " + w) if c != before)
+
+
 def front(text: str) -> str:
-    """text with a dotted short form at its front written out, also one with a slip in it."""
+    """text with a dotted short form at its front written out, also one with a slip in it, where only one word is meant."""
     m = re.match(r"^([a-z]{2,7})\.\s*(.*)$", text)
     if not m or m.group(1) in SHORT:
         return text
     w, rest = m.groups()
-    if w in ("del", "dle", "dele"):
-        return f"delegacion {rest}"
-    near = sorted({v for k, v in SHORT.items() if len(k) > 2 and slips(w, k) <= 1})
-    longer = sorted({v.split()[0] for v in SHORT.values() if len(w) > 2 and v.startswith(w)})
-    return f"{(near or longer)[0]} {rest}" if len(near or longer) == 1 else text
+    full = sorted(set(SHORT.values()))
+    for meant in ([v for k, v in SHORT.items() if len(k) > 2 and slips(w, k) <= 1], [v.split()[0] for v in full if len(w) > 2 and v.startswith(w)], [v.split()[0] for v in full if len(w) > 2 and v[0] == w[0] and slips(w, v[: len(w)]) <= 1]):
+        if meant:
+            return f"{meant[0]} {rest}" if len(set(meant)) == 1 else text
+    return text
 
 
 def is_remark(part: str, remarks: tuple[str, ...]) -> bool:

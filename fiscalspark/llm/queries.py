@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fiscalspark.functions import codes
 from fiscalspark.llm import canonical, encode, leakage, match, truncation
-from fiscalspark.session import salted_join
+from fiscalspark.session import materialise, salted_join
 from fiscalspark.sources.tables import table
 
 
@@ -16,22 +16,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = entries.where("nivel = 2").select(F.lit(0).cast("long").alias("grp"), F.col("organo_id").alias("ref"), F.col("denominacion").alias("name"), F.col("siglas").alias("short"), F.array().cast("array<string>").alias("remark"))
     parents = entries.where("nivel = 2").select(F.col("organo_id").alias("grp"), F.array_compact(F.array("denominacion", "siglas")).alias("remark"))
     below = entries.where("nivel = 3").select(F.col("padre_id").cast("long").alias("grp"), F.col("organo_id").alias("ref"), F.col("denominacion").alias("name"), F.col("siglas").alias("short")).join(parents, "grp")
-    grants = (
-        table(spark, sf_dir, "fact_subvenciones")
-        .where("concesion_id IS NOT NULL AND (nivel2 IS NOT NULL OR nivel3 IS NOT NULL)")
-        .groupBy("concesion_id")
-        .agg(F.max(F.struct("fecha_captura", "nivel2", "nivel3")).alias("r"))
-        .select("concesion_id", "r.nivel2", "r.nivel3")
-    )
-    spelt2 = top.groupBy(F.col("name").alias("nivel2")).agg(F.min("ref").alias("exact2"))
-    spelt3 = entries.where("nivel = 3").select(F.col("denominacion").alias("nivel3")).distinct().withColumn("exact3", F.lit(True))
+    rows = table(spark, sf_dir, "fact_subvenciones").where("concesion_id IS NOT NULL AND (nivel2 IS NOT NULL OR nivel3 IS NOT NULL)")
+    spelt2 = materialise(top.groupBy(F.col("name").alias("nivel2")).agg(F.min("ref").alias("exact2")))
+    spelt3 = materialise(entries.where("nivel = 3").select(F.col("denominacion").alias("nivel3")).distinct().withColumn("exact3", F.lit(True)))
+    # what people typed, each once: the names are looked up here, and the grants are read only for the result
+    typed = materialise(rows.select("nivel2", "nivel3").distinct())
     zero = F.lit(0).cast("long").alias("grp")
-    typed2 = grants.select("nivel2").distinct().join(spelt2, "nivel2", "left_anti")
+    typed2 = typed.select("nivel2").distinct().join(spelt2, "nivel2", "left_anti")
     map2 = canonical.map_values(typed2.select(zero, F.col("nivel2").alias("value")), top).select(F.col("value").alias("nivel2"), F.col("ref").alias("ref2"))
-    known = salted_join(salted_join(grants, spelt2, ["nivel2"], "left"), map2, ["nivel2"], "left").withColumn("org2", F.coalesce("exact2", "ref2", F.lit(0)))
-    known = salted_join(known, spelt3, ["nivel3"], "left")
-    pairs = known.where("exact3 IS NULL AND org2 > 0").select(F.col("org2").alias("grp"), F.col("nivel3").alias("value"))
+
+    def read(df: DataFrame) -> DataFrame:
+        known = salted_join(salted_join(df, spelt2, ["nivel2"], "left"), map2, ["nivel2"], "left").withColumn("org2", F.coalesce("exact2", "ref2", F.lit(0)))
+        return salted_join(known, spelt3, ["nivel3"], "left")
+
+    pairs = read(typed).where("exact3 IS NULL AND org2 > 0").select(F.col("org2").alias("grp"), F.col("nivel3").alias("value"))
     map3 = canonical.map_values(pairs, below).select(F.col("grp").alias("org2"), F.col("value").alias("nivel3"), F.col("ref").alias("ref3"))
+    grants = rows.groupBy("concesion_id").agg(F.max(F.struct("fecha_captura", "nivel2", "nivel3")).alias("r")).select("concesion_id", "r.nivel2", "r.nivel3")
+    known = read(grants)
     both = salted_join(known, map3, ["org2", "nivel3"], "left")
     out = F.array(
         F.when(F.col("nivel2").isNotNull() & F.col("exact2").isNull(), F.struct(F.lit("nivel2").alias("campo"), F.col("org2").alias("organo_id"))),

@@ -77,3 +77,25 @@ def test_distance_and_tree_against_brute_force():
 
 def test_four_swaps_in_a_long_name(spark):
     assert found(spark, [(7, "Direccion Geenral de Musoes y Fometno"), (7, "Driección Geenral de Musoes y Fometno"), (7, "Driección Geenral de Musoes y Fometo")]) == {(7, "Direccion Geenral de Musoes y Fometno"): 3, (7, "Driección Geenral de Musoes y Fometno"): 3, (7, "Driección Geenral de Musoes y Fometo"): 3}
+
+
+@pytest.mark.parametrize("shard_rows", [1, 7, 20_000])
+def test_same_for_any_number_of_shards(spark, shard_rows):
+    # a word of another entry bars an answer, whichever shard holds it; a name goes before a cut one; a short form is the entry's own
+    rows = [(0, 1, "Consejo de Montes", None, None), (0, 2, "Patronato de Montas", None, None), (0, 3, "Dirección General de Museos y Fomento", "DGM", None), (0, 4, "Dirección General de Museos y Fomento del Litoral", None, None), (0, 5, "Gerencia de Presupuestos y Cuentas", None, None)]
+    rows += [(0, 10 + i, f"Oficina {w} de Riegos", None, None) for i, w in enumerate(("primera", "segunda", "tercera", "cuarta", "quinta"))]
+    want = {"Consejo de Montas": 0, "Consejo de Montos": 1, "DGM": 3, "Dirección General de Museos y Fometno": 3, "Dirección General de Museos y Fomento del Litora": 4, "Ofic. terecra de Riegos": 12, "Gerencia de Ppptos./Cuentas": 5, "Grnc. de Presupuestos y Cuentas": 5}
+    df = spark.createDataFrame([(0, v) for v in want], "grp long, value string")
+    assert {r.value: r.ref for r in canonical.map_values(df, spark.createDataFrame(rows, REFS), shard_rows=shard_rows).collect()} == want
+
+
+def test_name_cut_early(spark):
+    long = spark.createDataFrame([(0, 1, "Subsecretaría de Conservación de Acequias, Presas y Canales del Interior", None, None)], REFS)
+    df = spark.createDataFrame([(0, "Subsecretaría de Conserva")], "grp long, value string")
+    assert [r.ref for r in canonical.map_values(df, long).collect()] == [1]
+
+
+def test_values_are_searched_by_several_tasks(spark):
+    values = spark.range(400).selectExpr("0L AS grp", "concat('Minsterio ', id) AS value").distinct()
+    tasks = canonical.spread_by(values, "grp", "value").mapInPandas(lambda fs: (f.head(0).assign(n=0) if f.empty else f.head(1).assign(n=len(f)) for f in fs), "grp long, value string, n long")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and tasks.count() >= 4
