@@ -77,7 +77,7 @@ def spread_by(df: DataFrame, *cols: str) -> DataFrame:
     of its own: a plain repartition by columns that df is grouped by already is dropped from the plan, and adaptive execution may
     then put small rows with much Python work before them into one task."""
     n = max(width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, F.pmod(F.xxhash64(*cols), F.lit(n)))
+    return df.repartition(n, F.xxhash64(*cols))
 
 
 def at_most(df: DataFrame, rows: int) -> bool:
