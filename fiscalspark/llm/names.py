@@ -105,7 +105,7 @@ def slips(a: str, b: str) -> int:
 
 def shortens(w: str, full: str) -> bool:
     """Whether w can be a short form of full: its letters, those written twice once, stand in full in their order, the first in front."""
-    if len(w) < 3 or w[:1] != full[:1] or len(full) < len(w) + 2:
+    if len(w) < 2 or w[:1] != full[:1] or len(full) < len(w) + 2:
         return False
     rest = iter(full)
     return all(c in rest for c, before in zip(w, " " + w) if c != before)
@@ -118,7 +118,7 @@ def front(text: str) -> str:
         return text
     w, rest = m.groups()
     full = sorted(set(SHORT.values()))
-    for meant in ([v for k, v in SHORT.items() if len(k) > 2 and slips(w, k) <= 1], [v.split()[0] for v in full if len(w) > 2 and v.startswith(w)], [v.split()[0] for v in full if len(w) > 2 and v[0] == w[0] and slips(w, v[: len(w)]) <= 1]):
+    for meant in ([v for k, v in SHORT.items() if len(k) > 2 and slips(w, k) <= 1], [v.split()[0] for v in full if len(w) > 2 and v.startswith(w)], [v.split()[0] for v in full if len(w) > 2 and v[0] == w[0] and slips(w, v[: len(w)]) <= 1], [v.split()[0] for v in full if shortens(w, v.split()[0])]):
         if meant:
             return f"{meant[0]} {rest}" if len(set(meant)) == 1 else text
     return text
