@@ -13,33 +13,40 @@ from pyspark.sql import functions as F
 
 from fiscalspark.llm import names
 from fiscalspark.llm.canonical import map_values
-from fiscalspark.session import materialise, salted_join, ship
-
-#: (rule, whole name or its head, name or words of it, joined attributes). Attributes that are not joined must not contradict.
-RULES = [
-    (f"{kind}_{part}_{'_'.join(by) or 'solo'}", part, kind, by)
-    for kind in ("nombre", "palabras")
-    for part in ("entero", "cabeza")
-    for by in (("m", "t"), ("m",), ("t",), ())
-    if by or (part, kind) == ("entero", "nombre")
-]
+from fiscalspark.session import materialise, salted_join, ship, spread, spread_by
+
+#: How the name is compared: as it is, each of its words brought to the nearest word of any unit's name, or letter by letter.
+KINDS = ("nombre", "palabras", "letras")
+#: Parts of a unit's name that a reading may give: all of it, all but the town behind it, its head before ' y '.
+PARTS = ("entero", "corto", "cabeza")
+#: (rule, part of the name, how it is compared, joined attributes). Attributes that are not joined must not contradict.
+RULES = [(f"{kind}_{part}_{'_'.join(by) or 'solo'}", part, kind, by) for kind in KINDS for part in PARTS for by in (("m", "t"), ("m",), ("t",), ())]
+#: Values of a joined attribute in the table of units: any value at all, and none known.
+ANY, NONE = "*", ""
 #: Words of a unit's name beyond which it is found by single words instead of pairs, whose number would grow with the square.
 MANY = 12
+#: Most edits that near() admits.
+MOST = 6
 
 
-def core(text: str | None, town: str | None = None, section: str | None = None) -> list[tuple[str, list[str]]]:
-    """(letters, words) of each reading of a name, without remarks and without the town behind it."""
-    out: dict[str, list[str]] = {}
-    place = names.squeeze(names.plain(town), False) if town else ""
+def said_words(text: str) -> list[str]:
+    """Words of a plain name; 'en' before a town is left out by some."""
+    return [w for w in names.words(text) if w != "en"]
+
+
+def core(text: str | None, town: str | None = None, section: str | None = None) -> list[tuple[str, list[str], int]]:
+    """(letters, words, rank) of each reading of a name, without remarks: rank 0 as it is, rank 1 without the town behind it."""
+    out: dict[str, tuple[list[str], int]] = {}
+    places = {names.squeeze(x, False) for x in names.readings(town)} if town else set()
     for t in names.readings(text or "", tuple(x for x in (town, section) if x)):
-        t = re.sub(r"\s*[(,-]\s*(?:ministerio|minist|min|mº)\b.*$", "", t)
-        t = re.sub(r"^(.{8,}) en [a-z]+\.?$", r"\1", t)
-        w = names.words(names.front(t))
-        while place and len(w) > 3 and (names.slips(w[-1], place) <= 2 and len(place) > 4):
-            w = w[:-1]
-        if w:
-            out.setdefault("".join(w), w)
-    return list(out.items())
+        t = names.front(re.sub(r"\s*[(,-]\s*(?:ministerio|minist|min|mº)\b.*$", "", t))
+        whole = said_words(t)
+        short = [said_words(m.group(1)) for m in [re.match(r"^(.{8,}) en [a-z ]+\.?$", t)] if m]
+        short += [whole[:-k] for k in (1, 2) if len(whole) > 2 + k and any(len(p) > 4 and names.slips("".join(whole[-k:]), p) <= 2 for p in places)]
+        for rank, w in ((0, whole), *((1, w) for w in short)):
+            if w and rank <= out.get("".join(w), (w, 1))[1]:
+                out["".join(w)] = (w, rank)
+    return [(s, w, rank) for s, (w, rank) in out.items()]
 
 
 def edits(n: int) -> int:
@@ -87,15 +94,16 @@ VARIANT = "s string, words array<string>, keys array<string>, part string"
 
 
 def unit_names(units: DataFrame) -> DataFrame:
-    """u, m, t and each name that a unit ever had (part 'entero') with its head before ' y ' (part 'cabeza')."""
+    """u, m, t and the PARTS of each name that a unit ever had."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for u, name, m, t in zip(f["u"], f["name"], f["m"], f["t"]):
-                plain = re.sub(r"^(.{8,}) en [a-z]+$", r"\1", names.plain(name))
-                for part, text in (("entero", plain), ("cabeza", plain.split(" y ")[0] if " y " in plain else "")):
-                    w = names.words(text)
+                whole = names.plain(name)
+                short = re.sub(r"^(.{8,}) en [a-z ]+$", r"\1", whole)
+                for part, text in zip(PARTS, (whole, short if short != whole else "", short.split(" y ")[0] if " y " in short else "")):
+                    w = said_words(text)
                     if w:
                         s = "".join(w)
                         out.append((u, m, t, s, w, unit_keys(s, w), part))
@@ -106,46 +114,92 @@ def unit_names(units: DataFrame) -> DataFrame:
 
 
 def row_names(rows: DataFrame) -> DataFrame:
-    """sig and each reading of the names of a row; sig stands for all rows that say the same."""
+    """sig, shown, rank and each reading of the names of a row; sig stands for all rows that say the same. shown is the part that
+    the reading is for: null for all. A judged row shows each part its names as a row that gives only this part would: without
+    the town, without what follows ' y '."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for sig, a, b, town, section in zip(f["sig"], f["a"], f["b"], f["town"], f["section"]):
-                seen = {}
+            for sig, judged, a, b, town, section in zip(f["sig"], f["judged"], f["a"], f["b"], f["town"], f["section"]):
+                seen: set[tuple] = set()
                 for text in (a, b):
-                    if text is not None:
-                        seen.update(core(text, town, section))
-                out += [(sig, s, w) for s, w in seen.items()]
-            yield pd.DataFrame(out, columns=["sig", "s", "words"])
-
-    return rows.mapInPandas(read, "sig long, s string, words array<string>")
-
-
-def candidates(rest: DataFrame, unit: DataFrame) -> DataFrame:
-    """sig, u, part, d, rm, m, rt and t of each reading and unit's name that differ by no more than near() admits, where
-    attributes do not contradict and the name holds all known words of the reading; complete, see row_keys()."""
+                    for s, w, rank in core(text, town, section):
+                        seen.add((("corto" if rank else "entero") if judged else None, s, tuple(w), rank))
+                    head, y, _ = names.plain(text or "").partition(" y ")
+                    if judged and y:
+                        seen.update(("cabeza", s, tuple(w), 0) for s, w, _ in core(head, town, section))
+                out += [(sig, *x) for x in sorted(seen, key=repr)]
+            yield pd.DataFrame(out, columns=["sig", "shown", "s", "words", "rank"])
+
+    return rows.mapInPandas(read, "sig long, shown string, s string, words array<string>, rank int")
+
+
+def by_attributes(unit: DataFrame) -> DataFrame:
+    """part, us (letters), mk, tk and the first and last code (lo, hi) of the units of that name with these attributes, a value
+    of m and t or ANY: a name belongs to one unit where lo is hi. A name of many units takes a row for each of their attributes,
+    so joins with it do not grow with the units that share a name."""
+    each = unit.select("part", F.col("s").alias("us"), F.explode(F.array(F.coalesce("m", F.lit(NONE)), F.lit(ANY))).alias("mk"), "t", "u")
+    each = each.select("part", "us", "mk", F.explode(F.array(F.coalesce("t", F.lit(NONE)), F.lit(ANY))).alias("tk"), "u")
+    return each.groupBy("part", "us", "mk", "tk").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+
+
+def lookups(k: int, by: tuple[str, ...]) -> Column:
+    """(k, mk, tk) of the rows of by_attributes() that rule k asks for: joined attributes equal, others equal or unknown. Of a
+    judged row the attributes that the rule does not join are hidden."""
+
+    def values(x: str) -> Column:
+        own = F.col(f"r{x}")
+        if x in by:
+            return F.when(own.isNotNull(), F.array(own))
+        return F.when(own.isNull() | F.col("judged"), F.array(F.lit(ANY))).otherwise(F.array(own, F.lit(NONE)))
+
+    pairs = F.flatten(F.transform(values("m"), lambda m: F.transform(values("t"), lambda t: F.struct(F.lit(k).alias("k"), m.alias("mk"), t.alias("tk")))))
+    return F.coalesce(pairs, F.array().cast("array<struct<k:int,mk:string,tk:string>>"))
+
+
+def resolved(readings: DataFrame, side: DataFrame, kind: str, parts: tuple[str, ...]) -> DataFrame:
+    """sig, k and u by the rules of the kind and parts. readings: sig, judged, rm, rt, us, part and d (slips; the nearest name
+    counts). A rule takes a row only if one unit fits; of the rules an open row gets the first, a judged row all."""
+    out = None
+    for part in parts:
+        rules = [lookups(k, by) for k, (_, p, how, by) in enumerate(RULES) if how == kind and p == part]
+        asked = readings.where(F.col("part") == part).select("sig", "judged", "us", "d", F.explode(F.concat(*rules)).alias("x")).select("sig", "judged", "us", "d", "x.*")
+        one = salted_join(asked, side.where(F.col("part") == part).drop("part"), ["us", "mk", "tk"])
+        out = one if out is None else out.unionByName(one)
+    per = out.groupBy("sig", "judged", "k", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    nearest = per.groupBy("sig", "judged", "k").agg(F.min(F.struct("d", "lo", "hi")).alias("b")).where("b.lo = b.hi").select("sig", "judged", "k", F.col("b.lo").alias("u"))
+    first = nearest.where("NOT judged").groupBy("sig").agg(F.min(F.struct("k", "u")).alias("r")).select("sig", F.lit(False).alias("judged"), "r.k", "r.u")
+    return materialise(nearest.where("judged").unionByName(first))
+
+
+def repaired(readings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """s and fixed: letters of a reading with each word that no unit's name has brought to the nearest word that one has, by the
+    tree of canonical.map_values(); only readings that change. readings: s, words; vocabulary: w."""
+    words = materialise(readings.select("s", F.posexplode("words").alias("pos", "w")))
+    unknown = words.where("length(w) > 4").select("w").distinct().join(vocabulary.select("w"), "w", "left_anti")
+    zero = F.lit(0).cast("long").alias("grp")
+    refs = vocabulary.select(zero, F.xxhash64("w").alias("ref"), F.col("w").alias("name"), F.lit(None).cast("string").alias("short"), F.array().cast("array<string>").alias("remark"))
+    found = map_values(unknown.select(zero, F.col("w").alias("value")), refs).where("ref <> 0").select(F.col("value").alias("w"), "ref")
+    fixes = materialise(found.join(refs.select("ref", F.col("name").alias("right")), "ref").select("w", "right"))
+    spelt = salted_join(words, fixes, ["w"], "left").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("right", "w").alias("w")))).getField("w").alias("f"), F.count("right").alias("n"))
+    return spelt.where("n > 0").select("s", F.array_join("f", "").alias("fixed"))
+
+
+def candidates(readings: DataFrame, unit: DataFrame) -> DataFrame:
+    """s, us, part and d of each reading and unit's name that differ by no more than near() admits, where the name holds all known
+    words of the reading; complete, see row_keys(). Readings and names come once each, however many rows and units have them."""
 
     @F.pandas_udf("array<string>")
     def asked(s: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([row_keys(x, list(k)) for x, k in zip(s, known)])
 
-    left = rest.select("sig", "s", "known", "rm", "rt", F.explode(asked("s", "known")).alias("k"))
-    side = unit.select("u", F.col("s").alias("us"), F.col("words").alias("uw"), "m", "t", "part", F.explode("keys").alias("k"))
-    hits = left.join(side, "k").where(reduce(Column.__and__, [agrees(f"r{x}", x) for x in ("m", "t")]))
-    hits = hits.where(F.size(F.array_except("known", "uw")) == 0).where(near("s", "us"))
-    return hits.select("sig", "u", "part", F.levenshtein("s", "us").alias("d"), "rm", "m", "rt", "t").distinct()
-
-
-def by_words(rest: DataFrame, unit: DataFrame) -> DataFrame:
-    """sig, u and rule by the first of the 'palabras' rules that has exactly one nearest unit; all rules read one set of candidates."""
-    rules = [(k, part, by) for k, (_, part, kind, by) in enumerate(RULES) if kind == "palabras"]
-    fits = [F.when(reduce(Column.__and__, [F.col(f"r{x}") == F.col(x) for x in by], F.col("part") == part), F.lit(k)) for k, part, by in rules]
-    ruled = candidates(rest, unit).select("sig", "u", "d", F.explode(F.array_compact(F.array(*fits))).alias("k"))
-    best = ruled.groupBy("sig", "k", "u").agg(F.min("d").alias("d")).groupBy("sig", "k", "d").agg(F.count("*").alias("n"), F.max("u").alias("u"))
-    nearest = best.groupBy("sig", "k").agg(F.min(F.struct("d", "n", "u")).alias("b")).where("b.n = 1")
-    first = nearest.groupBy("sig").agg(F.min(F.struct("k", F.col("b.u").alias("u"))).alias("r"))
-    return first.select("sig", "r.u", F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), F.col("r.k") + 1).alias("rule"))
+    left = readings.select("s", "known", F.explode(asked("s", "known")).alias("k"))
+    side = unit.select(F.col("s").alias("us"), F.col("words").alias("uw"), "keys", "part").distinct()
+    side = side.select("us", "uw", "part", F.explode("keys").alias("k"))
+    hits = left.join(side.join(left.select("k").distinct(), "k", "left_semi"), "k")
+    hits = hits.where(F.abs(F.length("s") - F.length("us")) <= MOST).where(F.size(F.array_except("known", "uw")) == 0).where(near("s", "us"))
+    return hits.select("s", "us", "part", F.levenshtein("s", "us").alias("d")).distinct()
 
 
 def attribute(rows: DataFrame, col: str, official: DataFrame) -> DataFrame:
@@ -157,49 +211,68 @@ def attribute(rows: DataFrame, col: str, official: DataFrame) -> DataFrame:
     return exact.where("same IS NOT NULL").select("value", F.col("same").alias("name")).unionByName(mapped).select(F.col("value").alias(col), F.col("name").alias(f"{col}_official"))
 
 
-def agrees(a: str, b: str) -> Column:
-    """Attributes that do not contradict: equal, or one of them unknown."""
-    return F.col(a).isNull() | F.col(b).isNull() | (F.col(a) == F.col(b))
-
-
 def near(a: str, b: str) -> Column:
     """Letters of two names within the slips that their length allows (a swap counts two)."""
     n = F.length(b)
     return F.levenshtein(F.col(a), F.col(b)) <= F.when(n < 9, 1).when(n < 16, 3).when(n < 26, 4).otherwise(6)
 
 
-def cascade(rows: DataFrame, units: DataFrame) -> DataFrame:
+def cascade(rows: DataFrame, units: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """id, u and rule of each row whose unit one of RULES finds; every rule takes only what the earlier ones left.
 
     rows: id long, a, b (names), section, town string. units: u, name, section, town string, one row per version; every
     name that a unit ever had counts. A rule takes a row only if exactly one unit fits. Rows that say the same are resolved once.
     Null and empty names match nothing; null sections and towns contradict nothing; repeated rows give one result.
+
+    Rows named by labelled (id, known) are not resolved but judge the rules: such a row comes out once for each rule that finds a
+    unit for it, with the attributes hidden that the rule does not join, and with only those readings that no stronger kind of rule
+    can use, so that the weak rules are judged by rows that need them. It takes the labels only to tell which rows those are.
+
+    The rules of one kind and part are one join with the units' names by their attributes (exact keys), after which the rows they
+    resolved leave by anti-join. Only the last kind compares letters.
     """
-    ship(rows.sparkSession)
+    spark = ship(rows.sparkSession)
     section, town = attribute(rows, "section", units.select(F.col("section").alias("name"))), attribute(rows, "town", units.select(F.col("town").alias("name")))
-    said = rows.select("id", "a", "b", "section", "town", F.xxhash64("a", "b", "section", "town").alias("sig"))
-    once = said.select("sig", "a", "b", "section", "town").distinct()
-    attrs = salted_join(salted_join(once, section, ["section"], "left"), town, ["town"], "left").select("sig", F.col("section_official").alias("rm"), F.col("town_official").alias("rt"))
+    marked = rows.withColumn("judged", F.lit(False)) if labelled is None else rows.join(labelled.select("id").distinct().withColumn("judged", F.lit(True)), "id", "left").withColumn("judged", F.coalesce("judged", F.lit(False)))
+    said = materialise(marked.select("id", "a", "b", "section", "town", "judged", F.xxhash64("a", "b", "section", "town", "judged").alias("sig")).distinct())
+    once = said.drop("id").distinct()
+    attrs = salted_join(salted_join(once, section, ["section"], "left"), town, ["town"], "left").select("sig", "judged", F.nullif("section_official", F.lit(NONE)).alias("rm"), F.nullif("town_official", F.lit(NONE)).alias("rt"))
     unit = materialise(unit_names(units.select("u", "name", F.col("section").alias("m"), F.col("town").alias("t"))))
-    read = row_names(once)
-    vocabulary = unit.select(F.explode("words").alias("w")).where("length(w) > 3").groupBy("w").agg(F.count("*").alias("f"))
-    known = read.select("sig", "s", F.explode("words").alias("w")).join(vocabulary, "w").groupBy("sig", "s").agg(F.array_sort(F.collect_set(F.struct("f", "w"))).getField("w").alias("known"))
-    rest = materialise(read.join(known, ["sig", "s"], "left").join(attrs, "sig").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))))
-    won = []
-    for rule, part, kind, by in RULES:
-        if kind != "nombre":
-            continue
-        on = ["k", *(f"k{x}" for x in by)]
-        left = rest.withColumns({"k": F.col("s"), **{f"k{x}": F.col(f"r{x}") for x in by}})
-        side = unit.where(F.col("part") == part).select("u", F.col("s").alias("us"), "m", "t").withColumns({"k": F.col("us"), **{f"k{x}": F.col(x) for x in by}})
-        hits = left.join(side, on).where(reduce(Column.__and__, [agrees(f"r{x}", x) for x in ("m", "t")]))
-        per = hits.groupBy("sig").agg(F.count_distinct("u").alias("n"), F.max("u").alias("u"))
-        hit = materialise(per.where("n = 1").select("sig", "u", F.lit(rule).alias("rule")))
-        won.append(hit)
-        rest = materialise(rest.join(hit, "sig", "left_anti"))
-    won.append(materialise(by_words(rest, unit)))
-    found = reduce(DataFrame.unionByName, won).coalesce(8)
-    per = salted_join(said.select("id", "sig"), found, ["sig"]).groupBy("id").agg(F.count_distinct("u").alias("n"), F.min("u").alias("u"), F.min("rule").alias("rule"))
+    side = materialise(by_attributes(unit))
+    rest = materialise(row_names(spread(once)).join(attrs, "sig"))
+    shown = F.explode(F.when(F.col("shown").isNull(), F.array(*[F.lit(x) for x in PARTS])).otherwise(F.array("shown"))).alias("part")
+    won: list[DataFrame] = []
+
+    def left(df: DataFrame) -> DataFrame:
+        gone = reduce(DataFrame.unionByName, won).where("NOT judged").select("sig")
+        return df.join(gone, "sig", "left_anti")
+
+    def hidden(df: DataFrame, names_: DataFrame, col: str = "s") -> DataFrame:
+        """df without the readings of judged rows that a rule before has a use for."""
+        seen = names_.select(F.col("s").alias(col), F.lit(True).alias("_seen")).distinct()
+        return df.join(seen, col, "left").where("NOT judged OR _seen IS NULL").drop("_seen")
+
+    def take(df: DataFrame, name: str, kind: str, parts: tuple[str, ...]) -> None:
+        won.append(resolved(df.select("sig", "judged", "rm", "rt", F.col(name).alias("us"), shown, F.col("rank").alias("d")), side, kind, parts))
+
+    for part in PARTS:
+        take(rest, "s", "nombre", (part,))
+        rest = hidden(left(rest), unit.where(F.col("part") == part))
+    rest = materialise(rest)
+    vocabulary = materialise(unit.select("s", F.explode("words").alias("w")).where("length(w) > 3").groupBy("w").agg(F.count_distinct("s").alias("f")))
+    fixed = materialise(repaired(rest.select("s", "words").dropDuplicates(["s"]), vocabulary))
+    take(rest.join(fixed, "s"), "fixed", "palabras", PARTS)
+    rest = materialise(hidden(left(rest), fixed.join(unit.select(F.col("s").alias("fixed")), "fixed", "left_semi")))
+    spelt = rest.select("s", "words").dropDuplicates(["s"])
+    known = spelt.select("s", F.explode("words").alias("w")).join(vocabulary, "w").groupBy("s").agg(F.array_sort(F.collect_set(F.struct("f", "w"))).getField("w").alias("known"))
+    spelt = spread_by(spelt.select("s").join(known, "s", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))), "s")
+    pairs = materialise(candidates(spelt, unit))
+    near_ones = salted_join(rest, pairs, ["s"]).where("shown IS NULL OR shown = part").withColumn("d", F.col("d") * 2 + F.col("rank"))
+    won.append(resolved(near_ones, side, "letras", PARTS))
+    name = F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), F.col("k") + 1)
+    found = reduce(DataFrame.unionByName, won).select("sig", "judged", "u", name.alias("rule"))
+    told = salted_join(said.select("id", "sig", "judged"), found.drop("judged"), ["sig"])
+    per = told.groupBy("id", F.when(F.col("judged"), F.col("rule")).alias("by_rule")).agg(F.count_distinct("u").alias("n"), F.min("u").alias("u"), F.min("rule").alias("rule"))
     return per.where("n = 1").select("id", "u", "rule")
 
 

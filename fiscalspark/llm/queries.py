@@ -46,20 +46,24 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The cascade's result for all rows of the crosswalk, and the solved rows (id, known)."""
+    """The cascade's result for all rows of the crosswalk, the solved ones once for each rule, and the solved rows (id, known)."""
     cross = table(spark, sf_dir, "crosswalk_servicio_dir3")
     rows = cross.select(F.col("cruce_id").alias("id"), F.col("servicio_denominacion").alias("a"), F.col("dir3_denominacion").alias("b"), F.col("seccion_denominacion").alias("section"), F.col("localidad").alias("town"))
     units = table(spark, sf_dir, "dim_organica").select(codes.dir3("dir3_cod").alias("u"), F.col("denominacion").alias("name"), F.col("ministerio_denominacion").alias("section"), F.col("localidad").alias("town"))
     labelled = cross.where("dir3_cod IS NOT NULL").groupBy(F.col("cruce_id").alias("id")).agg(F.max(codes.dir3("dir3_cod")).alias("known"))
-    return match.cascade(rows, units), labelled
+    return materialise(match.cascade(rows, units, labelled)), labelled
+
+
+#: Confidence that a rule of p6 must have: more than a rule without labelled row, which has 1/2.
+LEAST = 0.6
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.matched(*service_matches(spark, sf_dir)).select(F.col("id").alias("cruce_id"), F.col("u").alias("dir3_cod"))
+    return match.matched(*service_matches(spark, sf_dir), LEAST).select(F.col("id").alias("cruce_id"), F.col("u").alias("dir3_cod"))
 
 
 def p6_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.matched(*service_matches(spark, sf_dir)).select(F.col("id").alias("cruce_id"), F.col("u").alias("dir3_cod"), F.col("rule").alias("regla"), F.round("confidence", 6).alias("confianza"))
+    return match.matched(*service_matches(spark, sf_dir), LEAST).select(F.col("id").alias("cruce_id"), F.col("u").alias("dir3_cod"), F.col("rule").alias("regla"), F.round("confidence", 6).alias("confianza"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +89,13 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_confidence, p7_ids, p8_found, p8_items, p9_found, p9_rates)}
+def p6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of each rule: labelled rows that judge it, those it has right, its confidence, and the pending rows it resolves."""
+    found, labelled = service_matches(spark, sf_dir)
+    used = found.join(labelled.select("id"), "id", "left_anti").groupBy("rule").agg(F.count("*").alias("pendientes"))
+    j = match.rule_precision(found, labelled).join(used, "rule", "full")
+    return j.select(F.col("rule").alias("regla"), F.coalesce("n", F.lit(0)).alias("juzgadas"), F.coalesce("right", F.lit(0)).alias("acertadas"), F.round(F.coalesce("confidence", F.lit(0.5)), 6).alias("confianza"), F.coalesce("pendientes", F.lit(0)).alias("pendientes"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p6_found, p6_confidence, p6_rules, p7_ids, p8_found, p8_items, p9_found, p9_rates)}
 SQL: dict[str, str] = {}

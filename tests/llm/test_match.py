@@ -77,3 +77,35 @@ def test_keys_meet_wherever_near_admits_the_name():
         assert keys & set(match.row_keys(s, []))
         known = [x for x in dict.fromkeys(w) if len(x) > 3]
         assert not known or keys & set(match.row_keys(s, rnd.sample(known, rnd.randrange(1, len(known) + 1))))
+
+
+def test_town_behind_the_name(spark):
+    units = spark.createDataFrame([("E1", "Centro de Reses de Laderas en Galcesa", "M", "Galcesa"), ("E2", "Centro de Reses de Laderas", "M", "Galcesa"), ("E3", "Oficina de Boyas de Fraguas en Corvilla", "M", None)], "u string, name string, section string, town string")
+    rows = [(1, "Centro Reses Laderas Galcesa", None), (2, "Centro de Reses de Laderas", None), (3, "Oficina de Boyas de Fraguas", None), (4, "Oficina de Boyas de Fraguas en Cor villa", "Corvilla (capital)"), (5, "Oficina de Boyas de Fraugas Corvilla", "corvilla (capital)")]
+    got = {r.id: (r.u, r.rule) for r in match.cascade(spark.createDataFrame([(i, a, None, "M", t, "clash") for i, a, t in rows], ROWS), units).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "E1", 2: "E2", 3: "E3", 4: "E3", 5: "E3"}
+    assert got[3][1].startswith("nombre_corto") and got[5][1].startswith("palabras_entero")
+
+
+def test_labelled_rows_judge_each_rule_with_what_it_joins(spark):
+    units = spark.createDataFrame(UNITS, "u string, name string, section string, town string")
+    rows = [(1, "Centro de Reses de Laderas", None, "Ministerio de Bosques y Montes", "Galcesa", ""), (2, "Centro de Montes de Diques y Planos de Patrones", None, "Ministerio de Bosques y Montes", None, ""), (3, "Centro de Motnes de Diques y Planos de Patrones", None, None, None, ""), (4, "Centro de Reses de Laderas", None, "Ministerio de Puertos y Faros", None, "")]
+    labelled = spark.createDataFrame([(1, "E3"), (2, "E2"), (3, "E9")], "id long, known string")
+    found = match.cascade(spark.createDataFrame(rows, ROWS), units, labelled)
+    got = {(r.id, r.rule): r.u for r in found.collect()}
+    # the name alone or with the town fits two units; a head is judged by names without what follows 'y'
+    assert {k for k in got if k[0] == 1} == {(1, "nombre_entero_m_t"), (1, "nombre_entero_m")}
+    assert {(2, "nombre_entero_m"), (2, "nombre_entero_solo"), (2, "nombre_cabeza_m"), (2, "nombre_cabeza_solo")} <= set(got)
+    # a misspelt name judges only the rules that mend words, a right one only those that take it as it is
+    assert {r for i, r in got if i == 3} == {"palabras_entero_solo", "nombre_cabeza_solo"} or {r for i, r in got if i == 3} == {"palabras_entero_solo", "palabras_cabeza_solo"}
+    assert [r for i, r in got if i == 4] == ["nombre_entero_m"]
+    rules = {r.rule: (r.n, r.right) for r in match.rule_precision(found, labelled).collect()}
+    assert rules["nombre_entero_m"] == (2, 2) and rules["palabras_entero_solo"] == (1, 0)
+
+
+def test_namesakes_do_not_multiply(spark):
+    many = spark.range(3000).selectExpr("concat('E', id) AS u", "'Gabinete Tecnico' AS name", "concat('Ministerio ', id % 3) AS section", "CAST(NULL AS STRING) AS town")
+    side = match.by_attributes(match.unit_names(many.withColumnsRenamed({"section": "m", "town": "t"})))
+    assert side.count() == 4 * 2 and side.where("lo = hi").count() == 0
+    rows = spark.createDataFrame([(i, "Gabinete Tecnico", None, "Ministerio 1", None, "") for i in range(5)], ROWS)
+    assert match.cascade(rows, many).count() == 0
