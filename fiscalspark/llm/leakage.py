@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fiscalspark.llm.names import slips
 from fiscalspark.llm.truncation import plain
-from fiscalspark.session import at_most, ship, spread
+from fiscalspark.session import materialise, ship, spread
 
 #: Words in a template window, words of an item that a passage must hold, and how many of them may differ.
 WINDOW, PASSAGE, EDITS = 4, 20, 2
@@ -21,7 +21,9 @@ WINDOW, PASSAGE, EDITS = 4, 20, 2
 COVERED, GAP = 9, 25
 #: Words by which a passage may run ahead of the item or behind it, divided words and added ones together.
 DRIFT = 12
-#: Windows of more items than these are turns of phrase that cannot bring up an item by themselves.
+#: Words in a row that a passage always keeps whole, however its EDITS lie.
+RUN = (PASSAGE - EDITS) // (EDITS + 1)
+#: A window at more places than this is a turn of phrase: it brings up an item only where RUN words in a row are the item's.
 SHARED = 20
 #: Units of measure.
 UNITS = {"euros", "euro", "eur", "ciento", "meses", "mes", "dias", "dia", "veces", "horas", "years", "months", "percent"}
@@ -31,22 +33,34 @@ _ACCENT = re.compile(r"[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u20d0-\u20ff]+")
 _EDGE = re.compile(r"[^\w]+|_+")
 
 
-def words_of(text: str) -> tuple[list[str], list[bool]]:
-    """The words of text as letters and digits only (small, without accents), and whether each begins with a capital
-    where its text is not in capitals throughout."""
-    t = _DIVIDED.sub("", plain(text))
-    raw = t.split()
-    capital = [(w[0] if w[0].isalpha() else w.lstrip("«\"'(¿¡[*_")[:1]).isupper() and not (len(w) > 2 and w.isupper()) for w in raw]
-    flat = unicodedata.normalize("NFD", t.lower())
+def letters_of(raw: str) -> str:
+    """Letters and digits of a word without accents, in small letters."""
+    flat = unicodedata.normalize("NFD", raw.lower())
     flat = flat if flat.isascii() else _ACCENT.sub("", flat)
-    out, big = [], []
-    for w, c in zip(flat.split(), capital):
-        if not w.isalnum():
-            w = _EDGE.sub("", w)
-        if w:
-            out.append(w)
-            big.append(c)
-    return out, big
+    return flat if flat.isalnum() else _EDGE.sub("", flat)
+
+
+def is_big(raw: str) -> bool:
+    """Whether a word begins with a capital without being in capitals throughout."""
+    return (raw[0] if raw[0].isalpha() else raw.lstrip("«\"'(¿¡[*_")[:1]).isupper() and not (len(raw) > 2 and raw.isupper())
+
+
+def raw_words(text: str) -> list[str]:
+    """The words of text as they stand, those divided at a hyphen put together."""
+    return _DIVIDED.sub("", plain(text)).split()
+
+
+def words_of(text: str) -> tuple[list[str], list[bool]]:
+    """The words of text as letters and digits only, and whether each begins with a capital."""
+    both = [(x, is_big(r)) for r in raw_words(text) if (x := letters_of(r))]
+    return [x for x, _ in both], [b for _, b in both]
+
+
+def names_in(text: str) -> tuple[set[str], set[str]]:
+    """Words of text that begin with a capital behind its first word, and words in small letters."""
+    w, big = words_of(text)
+    plain_ones = [x for x in zip(range(len(w)), w, big) if not any(c.isdigit() for c in x[1])]
+    return {x for k, x, b in plain_ones if b and k}, {x for r in raw_words(text) if r[:1].islower() and (x := letters_of(r))}
 
 
 def kind(w: str, names: set[str] | dict) -> str:
@@ -58,105 +72,138 @@ def kind(w: str, names: set[str] | dict) -> str:
     return "$" if w in UNITS else w
 
 
+class Phrase:
+    """A window of more than SHARED places: by item, and by the words that follow it up to RUN words."""
+
+    def __init__(self, places: list[tuple[int, int]], items: list[list[str]]):
+        self.by_item: dict[int, list[int]] = defaultdict(list)
+        self.longer: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+        for n, q in places:
+            self.by_item[n].append(q)
+            self.longer[tuple(items[n][q + WINDOW : q + RUN])].append((n, q))
+
+
 class Items:
     """Template windows of a block of items: template to slot values to places. Words that a text divides or runs together count
-    as the item has them, so passages bring up windows as if they were written right."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        read = [(i, *words_of(t)) for i, t in items]
-        self.names: set[str] = set()
-        for _, w, big in read:
-            self.names.update(x for k, (x, b) in enumerate(zip(w, big)) if b and k and not any(c.isdigit() for c in x))
-        self.seen: dict[str, str] = {}
-        self.ids = [i for i, _, _ in read]
-        self.words = [w for _, w, _ in read]
+    as the item has them, so passages bring up windows as if they were written right. What is found of an item depends on the
+    item alone: names are those of the whole list, and no window is left out for standing in many items."""
+
+    def __init__(self, items: list[tuple[int, str]], known_names: set[str] | None = None):
+        if known_names is None:
+            found = [names_in(t) for _, t in items]
+            known_names = set().union(*(x for x, _ in found)) - set().union(*(x for _, x in found)) if found else set()
+        self.names = known_names
+        self.ids = [i for i, _ in items]
+        self.words = [words_of(t)[0] for _, t in items]
         self.kinds = [[kind(x, self.names) for x in w] for w in self.words]
-        self.windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for n, (w, k) in enumerate(zip(self.words, self.kinds)):
+        windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for n, w in enumerate(self.words):
             for p in range(len(w) - WINDOW + 1):
-                self.windows[tuple(k[p : p + WINDOW])][self.slots(w, k, p)].append((n, p))
+                template, slots = self.template(tuple(w[p : p + WINDOW]))
+                windows[template][slots].append((n, p))
+        self.windows = {k: {x: at if len(at) <= SHARED else Phrase(at, self.words) for x, at in v.items()} for k, v in windows.items()}
         # words and pairs of neighbours, by which divided words of a text are rejoined and words run together are split
         self.known = {x for w in self.words for x in w}
         self.pairs: dict[str, set[tuple[str, str]]] = defaultdict(set)
         for w in self.words:
             for x, y in zip(w, w[1:]):
                 self.pairs[x + y].add((x, y))
-        # a window of many items is a turn of phrase: it counts for an item that others have brought up, found by item then
-        self.windows = {k: {x: at if len(at) <= SHARED else by_item(at) for x, at in v.items()} for k, v in self.windows.items()}
+        # what a word of a text can be: 1 a word of an item, 2 the front of one, 4 two run together
+        self.role: dict[str, int] = defaultdict(int)
+        for x in self.known:
+            self.role[x] |= 1
+            for k in range(1, len(x)):
+                self.role[x[:k]] |= 2
+        for x in self.pairs:
+            self.role[x] |= 4
+        self.role = dict(self.role)
+        self.read: dict[str, tuple[str, int]] = {}
+
+    def template(self, own: tuple[str, ...]) -> tuple[tuple, tuple]:
+        k = tuple(kind(x, self.names) for x in own)
+        return k, tuple(x for x, y in zip(own, k) if y in "#@$")
 
-    @staticmethod
-    def slots(w: list[str], k: list[str], p: int) -> tuple:
-        return tuple(x for x, y in zip(w[p : p + WINDOW], k[p : p + WINDOW]) if y in "#@$")
+    def places(self, own: tuple[str, ...]) -> list[tuple[int, int]] | Phrase | None:
+        """Where the items have these WINDOW words: the template joined first, then its slots."""
+        template, slots = self.template(own)
+        return self.windows.get(template, {}).get(slots)
 
-    def readings(self, w: list[str]) -> dict[int, list[tuple[tuple[str, ...], int]]]:
+    def readings(self, w: list[str], roles: list[int]) -> dict[int, list[tuple[tuple[str, ...], int]]]:
         """Places of a text where its words can be read otherwise: words of an item, and the words of the text that they take."""
         out: dict[int, list[tuple[tuple[str, ...], int]]] = {}
-        known, pairs = self.known, self.pairs
-        for p, (x, y, z) in enumerate(zip(w, [*w[1:], ""], [*w[2:], "", ""])):
-            if y:
-                if x + y in known:
-                    out.setdefault(p, []).append(((x + y,), 2))
-                if z and x + y + z in known:
-                    out.setdefault(p, []).append(((x + y + z,), 3))
-            if x in pairs:
-                out.setdefault(p, []).extend((pair, 1) for pair in sorted(pairs[x]))
+        known, n = self.known, len(w)
+        for p, role in enumerate(roles):
+            if role & 2 and p + 1 < n:
+                xy = w[p] + w[p + 1]
+                if xy in known:
+                    out.setdefault(p, []).append(((xy,), 2))
+                if p + 2 < n and xy + w[p + 2] in known:
+                    out.setdefault(p, []).append(((xy + w[p + 2],), 3))
+            if role & 4:
+                out.setdefault(p, []).extend((pair, 1) for pair in sorted(self.pairs[w[p]]))
         return out
 
-    def reread(self, w: list[str]) -> Iterator[tuple[int, tuple, tuple]]:
-        """Place, template and slots of every window that has a divided word or one run together. A pair may reach
-        over either end of a window."""
-        other = self.readings(w)
+    def reread(self, w: list[str], roles: list[int]) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """Place and words (RUN, or as many as there are of at least WINDOW) of every reading that has a divided word or one run
+        together in it. A pair may reach over either end."""
+        other = self.readings(w, roles)
         seen = set()
-        for p in sorted({at for q in other for at in range(max(0, q - 3 * (WINDOW - 1)), q + 1)}):
+        for p in sorted({at for q in other for at in range(max(0, q - 3 * (RUN - 1)), q + 1)}):
             todo: list[tuple[tuple[str, ...], int, bool]] = [((), p, False)]
             while todo:
                 own, at, changed = todo.pop()
-                if len(own) >= WINDOW:
-                    if changed and (p, own[:WINDOW]) not in seen:
-                        seen.add((p, own[:WINDOW]))
-                        yield p, *self.template(own[:WINDOW])
+                if changed and len(own) >= WINDOW and (p, own[:RUN]) not in seen:
+                    seen.add((p, own[:RUN]))
+                    yield p, own[:RUN]
+                if len(own) >= RUN or at >= len(w):
                     continue
-                if at >= len(w):
-                    continue
-                todo.append(((*own, w[at]), at + 1, changed))
+                if roles[at] & 1:
+                    todo.append(((*own, w[at]), at + 1, changed))
                 for got, taken in other.get(at, ()):
                     todo.append(((*own, *got), at + taken, True))
                     if not own and len(got) == 2:
                         todo.append((got[1:], at + taken, True))
 
-    def template(self, own: tuple[str, ...]) -> tuple[tuple, tuple]:
-        k = [kind(x, self.names) for x in own]
-        return tuple(k), self.slots(own, k, 0)
+    def text_words(self, text: str) -> tuple[list[str], list[int], list[str]]:
+        """Words of text, what each can be (see role), and the words as they stand."""
+        if len(self.read) > 500_000:
+            self.read.clear()
+        read, raw = self.read, raw_words(text)
+        for r in raw:
+            if r not in read:
+                x = letters_of(r)
+                read[r] = (x, self.role.get(x, 0))
+        both = [read[r] for r in raw]
+        kept = [x for x in zip(both, raw) if x[0][0]]
+        return [x[0] for x, _ in kept], [x[1] for x, _ in kept], [r for _, r in kept]
 
     def leaked(self, text: str) -> list[int]:
         """Ids of the items of which text holds a passage."""
-        w, big = words_of(text)
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-        for x in w:
-            if x not in self.seen:
-                self.seen[x] = kind(x, self.names)
-        k = [self.seen[x] for x in w]
+        w, roles, raw = self.text_words(text)
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        get = self.windows.get
         phrases: list[tuple[int, dict[int, list[int]]]] = []
-        for p in range(len(w) - WINDOW + 1):
-            same = get((k[p], k[p + 1], k[p + 2], k[p + 3]))
-            if same:
-                at = same.get(self.slots(w, k, p))
-                if at:
-                    if isinstance(at, dict):
-                        phrases.append((p, at))
-                    else:
-                        for n, q in at:
-                            hits[n].append((p, q))
-        for p, template, slots in self.reread(w):
-            at = get(template, {}).get(slots)
-            if isinstance(at, dict):
-                phrases.append((p, at))
+
+        def note(p: int, own: tuple[str, ...]) -> None:
+            at = self.places(own[:WINDOW])
+            if isinstance(at, Phrase):
+                phrases.append((p, at.by_item))
+                for n, q in at.longer.get(own[WINDOW:], ()) if len(own) == RUN else ():
+                    hits[n].append((p, q))
             else:
                 for n, q in at or ():
                     hits[n].append((p, q))
+
+        run = 0
+        for p, role in enumerate(roles):
+            run = run + 1 if role & 1 else 0
+            if run >= WINDOW:
+                at = p - WINDOW + 1
+                note(at, tuple(w[at : at + RUN]))
+        for p, own in self.reread(w, roles):
+            note(p, own)
+        if not hits:
+            return []
+        k, big = [kind(x, self.names) for x in w], [is_big(r) for r in raw]
         out = []
         for n, found in hits.items():
             found += [(p, q) for p, at in phrases for q in at.get(n, ())]
@@ -177,13 +224,6 @@ class Items:
         return False
 
 
-def by_item(at: list[tuple[int, int]]) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = defaultdict(list)
-    for n, q in at:
-        out[n].append(q)
-    return dict(out)
-
-
 def promising(stretch: list[tuple[int, int]]) -> bool:
     """Whether COVERED words of some PASSAGE consecutive words of the item stand in their order in one place of the text."""
     for p, q in stretch:
@@ -284,24 +324,52 @@ def passage(item: list[str], item_kinds: list[str], text: list[str], text_kinds:
     return False
 
 
-def leaks(docs: DataFrame, items: DataFrame, block: int = 20_000) -> DataFrame:
+class Block:
+    """Items of a block as they are sent to the tasks; a worker process builds the index once, whatever tasks it runs."""
+
+    def __init__(self, items: list[tuple[int, str]], known_names: set[str]):
+        self.items, self.known_names, self.built = items, known_names, None
+
+    def index(self) -> Items:
+        if self.built is None:
+            self.built = Items(self.items, self.known_names)
+        return self.built
+
+
+def names_of(items: DataFrame) -> set[str]:
+    """Names in the whole list: words that some item writes with a capital inside a sentence and none in small letters. They are no
+    more than the words of the list, which grow far less than the list."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            both = [names_in(t) for t in f["text"]]
+            big, small = (set().union(*(x[k] for x in both)) for k in (0, 1))
+            yield pd.DataFrame([(w, True) for w in sorted(big)] + [(w, False) for w in sorted(small)], columns=["w", "big"])
+
+    rows = items.mapInPandas(read, "w string, big boolean").groupBy("w").agg(F.min("big").alias("big"))
+    return {r.w for r in rows.where("big").select("w").collect()}
+
+
+def leaks(docs: DataFrame, items: DataFrame, block: int = 5_000) -> DataFrame:
     """doc_id and item_id of every text that gives away an item.
 
     docs: doc_id long, text string. items: item_id long, text string. Null, empty and blank texts give nothing away and are
     not given away, nor is an item of fewer than PASSAGE words; very long texts are searched whole; repeated rows give one
-    result. Items go to the tasks in blocks of at most ``block`` (counted), each block against all texts, so a text is never shuffled.
+    result. Items go to the tasks in blocks of about ``block``, each block against all texts, so a text is never shuffled; the
+    result is the same for any size of block.
     """
     spark = ship(docs.sparkSession)
-    whole = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
-    n = 1 if at_most(whole, block) else whole.count() // block * 2 + 1
+    whole = materialise(items.where("item_id IS NOT NULL AND length(text) > 0").select("item_id", "text").distinct())
+    n = max(1, -(-whole.count() // block))
+    known_names = names_of(whole)
     rows = spread(docs.where("doc_id IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     out = None
     for b in range(n):
-        part = whole if n == 1 else whole.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part.collect()])
+        part = whole.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
+        sent = spark.sparkContext.broadcast(Block([(r.item_id, r.text) for r in part.collect()], known_names))
 
         def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = Items(sent.value)
+            index = sent.value.index()
             for f in frames:
                 found = [(d, i) for d, t in zip(f["doc_id"], f["text"]) for i in index.leaked(t)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id"])

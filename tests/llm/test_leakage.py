@@ -102,3 +102,51 @@ def test_figures_set_with_blanks():
     index = leakage.Items([(7, item)])
     assert index.leaked(item.replace(".", " ")) == [7]
     assert index.leaked(item.replace(".4", ".9").replace(".", " ")) == []
+
+
+def many_items():
+    """27 items that share one passage, each with a passage of its own, and one that shares turns of phrase only."""
+    words = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince".split()
+    shared = " ".join(W[3:38])
+    out = [(100 + i, f"Nota {words[i % 15]}{words[i // 15]} de la serie. {shared} Queda {words[i % 15]} en {words[(i + 3) % 15]} sobre {words[i // 15]}.") for i in range(27)]
+    return [*out, (200, "Según el acta, quien firmaba de la Delegación de Bodegas de Telares dijo otra cosa sobre los plazos que nadie había visto en el archivo de la casa.")]
+
+
+def test_passage_shared_by_many_items(spark):
+    items = spark.createDataFrame([(i, t) for i, t in many_items()], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Nota previa. " + " ".join(W[8:30]) + " fin."), (2, "Nota. " + " ".join([*W[6:14], "luego", *W[15:22], "casi", *W[23:28]]) + " fin."), (3, "Nota. " + divided({3, 8, 13, 18}, W[5:27]) + " fin."), (4, " ".join(W[5:17]))], "doc_id long, text string")
+    want = {(d, 100 + i) for d in (1, 2, 3) for i in range(27)}
+    for block in (1, 7, 20_000):
+        assert {tuple(r) for r in leakage.leaks(docs, items, block=block).collect()} == want, block
+
+
+def test_names_are_those_of_the_whole_list(spark):
+    a = "El plan fija que la casa de Zarala revise cada curso los libros que guarda el archivo del puerto y que nadie ha leído desde hace tiempo."
+    b = "La nota dice que Vensoles pide más días para los trámites que la oficina abrió en marzo con la ayuda de los vecinos del barrio del norte."
+    docs = spark.createDataFrame([(1, a), (2, a.replace("Zarala", "Vensoles")), (3, a.replace("Zarala", "Vensoles").lower()), (4, a.lower())], "doc_id long, text string")
+    items = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    for block in (1, 20_000):
+        assert {tuple(r) for r in leakage.leaks(docs, items, block=block).collect()} == {(1, 1), (4, 1)}, block
+    assert leakage.names_of(items) == {"zarala", "vensoles"}
+
+
+def all_windows(index, text):
+    """Items by the exact check alone, on the whole text, without windows before it."""
+    w, big = leakage.words_of(text)
+    k = [leakage.kind(x, index.names) for x in w]
+    return [i for i, own, kinds in zip(index.ids, index.words, index.kinds) if leakage.passage(own, kinds, w, k, big)]
+
+
+def test_windows_lose_nothing_that_the_exact_check_accepts():
+    rnd = random.Random(11)
+    index = leakage.Items([(7, ITEM), (8, OTHER), *many_items()])
+    for _ in range(120):
+        i, t = rnd.choice([(7, ITEM), (8, OTHER), *many_items()])
+        w = t.split()
+        lo = rnd.randrange(0, max(1, len(w) - 21))
+        w = w[lo : lo + rnd.randrange(19, 30)]
+        for _ in range(rnd.randrange(0, 4)):
+            k = rnd.randrange(len(w))
+            w[k : k + 1] = rnd.choice([[], ["luego"], [w[k], "casi"], [w[k][:2], w[k][2:]], [w[k] + "x"]])
+        text = "Se abre la nota. " + " ".join(x for x in w if x) + " Se cierra."
+        assert set(index.leaked(text)) >= set(all_windows(index, text)), text
