@@ -90,7 +90,7 @@ def row_keys(s: str, known: list[str]) -> list[str]:
     return sorted(out)
 
 
-VARIANT = "s string, words array<string>, keys array<string>, part string"
+VARIANT = "s string, words array<string>, part string"
 
 
 def unit_names(units: DataFrame) -> DataFrame:
@@ -106,8 +106,8 @@ def unit_names(units: DataFrame) -> DataFrame:
                     w = said_words(text)
                     if w:
                         s = "".join(w)
-                        out.append((u, m, t, s, w, unit_keys(s, w), part))
-            yield pd.DataFrame(out, columns=["u", "m", "t", "s", "words", "keys", "part"])
+                        out.append((u, m, t, s, w, part))
+            yield pd.DataFrame(out, columns=["u", "m", "t", "s", "words", "part"])
 
     rows = units.where("u IS NOT NULL AND name IS NOT NULL").select("u", "name", F.col("m"), F.col("t")).distinct()
     return rows.mapInPandas(read, f"u string, m string, t string, {VARIANT}").distinct()
@@ -144,33 +144,35 @@ def by_attributes(unit: DataFrame) -> DataFrame:
     return each.groupBy("part", "us", "mk", "tk").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
 
 
-def lookups(k: int, by: tuple[str, ...]) -> Column:
-    """(k, mk, tk) of the rows of by_attributes() that rule k asks for: joined attributes equal, others equal or unknown. Of a
-    judged row the attributes that the rule does not join are hidden."""
+def resolved(readings: DataFrame, side: DataFrame, kind: str) -> DataFrame:
+    """sig, judged, k and u by the rules of a kind. readings: sig, judged, shown, rm, rt, us and d (slips; the nearest name counts).
 
-    def values(x: str) -> Column:
-        own = F.col(f"r{x}")
-        if x in by:
-            return F.when(own.isNotNull(), F.array(own))
-        return F.when(own.isNull() | F.col("judged"), F.array(F.lit(ANY))).otherwise(F.array(own, F.lit(NONE)))
-
-    pairs = F.flatten(F.transform(values("m"), lambda m: F.transform(values("t"), lambda t: F.struct(F.lit(k).alias("k"), m.alias("mk"), t.alias("tk")))))
-    return F.coalesce(pairs, F.array().cast("array<struct<k:int,mk:string,tk:string>>"))
-
-
-def resolved(readings: DataFrame, side: DataFrame, kind: str, parts: tuple[str, ...]) -> DataFrame:
-    """sig, k and u by the rules of the kind and parts. readings: sig, judged, rm, rt, us, part and d (slips; the nearest name
-    counts). A rule takes a row only if one unit fits; of the rules an open row gets the first, a judged row all."""
-    out = None
-    for part in parts:
-        rules = [lookups(k, by) for k, (_, p, how, by) in enumerate(RULES) if how == kind and p == part]
-        asked = readings.where(F.col("part") == part).select("sig", "judged", "us", "d", F.explode(F.concat(*rules)).alias("x")).select("sig", "judged", "us", "d", "x.*")
-        one = salted_join(asked, side.where(F.col("part") == part).drop("part"), ["us", "mk", "tk"])
-        out = one if out is None else out.unionByName(one)
-    per = out.groupBy("sig", "judged", "k", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    A rule joins its attributes, which must be known and equal; those of the others that are known must be equal or unknown
+    to the unit. So a reading asks for at most four rows of by_attributes(), each of which serves several rules. Of a judged row
+    the attributes that a rule does not join are hidden. A rule takes a row only if one unit fits; of the rules an open
+    row gets the first, a judged row all.
+    """
+    own = {x: F.col(f"r{x}") for x in ("m", "t")}
+    values = {x: F.when(c.isNull(), F.array(F.lit(ANY))).when(F.col("judged"), F.array(c, F.lit(ANY))).otherwise(F.array(c, F.lit(NONE))) for x, c in own.items()}
+    pairs = F.flatten(F.transform(values["m"], lambda m: F.transform(values["t"], lambda t: F.struct(m.alias("mk"), t.alias("tk")))))
+    asked = readings.select("sig", "judged", "shown", "us", "d", "rm", "rt", F.explode(pairs).alias("x")).select("sig", "judged", "shown", "us", "d", "rm", "rt", "x.*")
+    one = salted_join(asked, side, ["us", "mk", "tk"]).where("shown IS NULL OR shown = part")
+
+    def serves(part: str, by: tuple[str, ...]) -> Column:
+        fits = F.col("part") == part
+        for x in ("m", "t"):
+            if x in by:
+                fits &= F.col(f"{x}k") == own[x]
+            else:
+                fits &= ~F.col("judged") | (F.col(f"{x}k") == ANY)
+        return fits
+
+    ks = F.array_compact(F.array(*[F.when(serves(part, by), F.lit(k)) for k, (_, part, how, by) in enumerate(RULES) if how == kind]))
+    ruled = one.select("sig", "judged", "d", "lo", "hi", F.explode(ks).alias("k"))
+    per = ruled.groupBy("sig", "judged", "k", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     nearest = per.groupBy("sig", "judged", "k").agg(F.min(F.struct("d", "lo", "hi")).alias("b")).where("b.lo = b.hi").select("sig", "judged", "k", F.col("b.lo").alias("u"))
-    first = nearest.where("NOT judged").groupBy("sig").agg(F.min(F.struct("k", "u")).alias("r")).select("sig", F.lit(False).alias("judged"), "r.k", "r.u")
-    return materialise(nearest.where("judged").unionByName(first))
+    first = nearest.groupBy("sig", "judged").agg(F.min("k").alias("first"))
+    return materialise(nearest.join(first, ["sig", "judged"]).where("judged OR k = first").drop("first"))
 
 
 def repaired(readings: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -194,11 +196,17 @@ def candidates(readings: DataFrame, unit: DataFrame) -> DataFrame:
     def asked(s: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([row_keys(x, list(k)) for x, k in zip(s, known)])
 
-    left = readings.select("s", "known", F.explode(asked("s", "known")).alias("k"))
-    side = unit.select(F.col("s").alias("us"), F.col("words").alias("uw"), "keys", "part").distinct()
-    side = side.select("us", "uw", "part", F.explode("keys").alias("k"))
-    hits = left.join(side.join(left.select("k").distinct(), "k", "left_semi"), "k")
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = [(us, uw, parts, k) for us, uw, parts in zip(f["us"], f["uw"], f["parts"]) for k in unit_keys(us, list(uw))]
+            yield pd.DataFrame(out, columns=["us", "uw", "parts", "k"])
+
+    left = materialise(readings.select("s", "known", F.explode(asked("s", "known")).alias("k")))
+    names_ = unit.groupBy(F.col("s").alias("us")).agg(F.min("words").alias("uw"), F.collect_set("part").alias("parts"))
+    side = salted_join(names_.mapInPandas(read, "us string, uw array<string>, parts array<string>, k string"), left.select("k").distinct(), ["k"], "left_semi")
+    hits = salted_join(side, left, ["k"])
     hits = hits.where(F.abs(F.length("s") - F.length("us")) <= MOST).where(F.size(F.array_except("known", "uw")) == 0).where(near("s", "us"))
+    hits = hits.select("s", "us", F.explode("parts").alias("part"))
     return hits.select("s", "us", "part", F.levenshtein("s", "us").alias("d")).distinct()
 
 
@@ -240,35 +248,32 @@ def cascade(rows: DataFrame, units: DataFrame, labelled: DataFrame | None = None
     unit = materialise(unit_names(units.select("u", "name", F.col("section").alias("m"), F.col("town").alias("t"))))
     side = materialise(by_attributes(unit))
     rest = materialise(row_names(spread(once)).join(attrs, "sig"))
-    shown = F.explode(F.when(F.col("shown").isNull(), F.array(*[F.lit(x) for x in PARTS])).otherwise(F.array("shown"))).alias("part")
     won: list[DataFrame] = []
 
     def left(df: DataFrame) -> DataFrame:
         gone = reduce(DataFrame.unionByName, won).where("NOT judged").select("sig")
         return df.join(gone, "sig", "left_anti")
 
-    def hidden(df: DataFrame, names_: DataFrame, col: str = "s") -> DataFrame:
-        """df without the readings of judged rows that a rule before has a use for."""
-        seen = names_.select(F.col("s").alias(col), F.lit(True).alias("_seen")).distinct()
-        return df.join(seen, col, "left").where("NOT judged OR _seen IS NULL").drop("_seen")
-
-    def take(df: DataFrame, name: str, kind: str, parts: tuple[str, ...]) -> None:
-        won.append(resolved(df.select("sig", "judged", "rm", "rt", F.col(name).alias("us"), shown, F.col("rank").alias("d")), side, kind, parts))
+    def hidden(df: DataFrame, seen: DataFrame, when: Column) -> DataFrame:
+        """df without the readings s of judged rows that an earlier rule has a use for."""
+        return salted_join(df, seen, ["s"], "left").where(~F.col("judged") | ~F.coalesce(when, F.lit(False))).drop(*[c for c in seen.columns if c != "s"])
 
-    for part in PARTS:
-        take(rest, "s", "nombre", (part,))
-        rest = hidden(left(rest), unit.where(F.col("part") == part))
-    rest = materialise(rest)
+    order = F.coalesce(*[F.when(F.col("part") == x, k) for k, x in enumerate(PARTS)])
+    exact = materialise(unit.groupBy("s").agg(F.min(order).alias("at")))
+    at_shown = F.coalesce(*[F.when(F.col("shown") == x, k) for k, x in enumerate(PARTS)])
+    won.append(resolved(hidden(rest, exact, F.col("at") < at_shown).withColumn("us", F.col("s")).withColumn("d", F.col("rank")), side, "nombre"))
+    rest = materialise(hidden(left(rest), exact, F.col("at").isNotNull()))
     vocabulary = materialise(unit.select("s", F.explode("words").alias("w")).where("length(w) > 3").groupBy("w").agg(F.count_distinct("s").alias("f")))
     fixed = materialise(repaired(rest.select("s", "words").dropDuplicates(["s"]), vocabulary))
-    take(rest.join(fixed, "s"), "fixed", "palabras", PARTS)
-    rest = materialise(hidden(left(rest), fixed.join(unit.select(F.col("s").alias("fixed")), "fixed", "left_semi")))
+    won.append(resolved(salted_join(rest, fixed, ["s"]).withColumn("us", F.col("fixed")).withColumn("d", F.col("rank")), side, "palabras"))
+    mended = fixed.join(exact.select(F.col("s").alias("fixed")), "fixed", "left_semi").select("s", F.lit(True).alias("mended"))
+    rest = materialise(hidden(left(rest), mended, F.col("mended")))
     spelt = rest.select("s", "words").dropDuplicates(["s"])
-    known = spelt.select("s", F.explode("words").alias("w")).join(vocabulary, "w").groupBy("s").agg(F.array_sort(F.collect_set(F.struct("f", "w"))).getField("w").alias("known"))
+    known = salted_join(spelt.select("s", F.explode("words").alias("w")), vocabulary, ["w"]).groupBy("s").agg(F.array_sort(F.collect_set(F.struct("f", "w"))).getField("w").alias("known"))
     spelt = spread_by(spelt.select("s").join(known, "s", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))), "s")
     pairs = materialise(candidates(spelt, unit))
-    near_ones = salted_join(rest, pairs, ["s"]).where("shown IS NULL OR shown = part").withColumn("d", F.col("d") * 2 + F.col("rank"))
-    won.append(resolved(near_ones, side, "letras", PARTS))
+    near_ones = salted_join(rest, pairs, ["s"]).where("shown IS NULL OR shown = part").drop("shown").withColumnRenamed("part", "shown")
+    won.append(resolved(near_ones.withColumn("d", F.col("d") * 2 + F.col("rank")), side, "letras"))
     name = F.element_at(F.array(*[F.lit(r[0]) for r in RULES]), F.col("k") + 1)
     found = reduce(DataFrame.unionByName, won).select("sig", "judged", "u", name.alias("rule"))
     told = salted_join(said.select("id", "sig", "judged"), found.drop("judged"), ["sig"])
