@@ -25,6 +25,8 @@ DRIFT = 12
 RUN = (PASSAGE - EDITS) // (EDITS + 1)
 #: A window at more places than this is a turn of phrase: it brings up an item only where RUN words in a row are the item's.
 SHARED = 20
+#: Placeholders of figures, names and units in templates.
+SLOTS = frozenset("#@$")
 #: Units of measure.
 UNITS = {"euros", "euro", "eur", "ciento", "meses", "mes", "dias", "dia", "veces", "horas", "years", "months", "percent"}
 
@@ -96,6 +98,8 @@ class Items:
         self.ids = [i for i, _ in items]
         self.words = [words_of(t)[0] for _, t in items]
         self.kinds = [[kind(x, self.names) for x in w] for w in self.words]
+        self.known = {x for w in self.words for x in w}
+        self.kind = {x: kind(x, self.names) for x in self.known}
         windows: dict[tuple, dict[tuple, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for n, w in enumerate(self.words):
             for p in range(len(w) - WINDOW + 1):
@@ -103,7 +107,6 @@ class Items:
                 windows[template][slots].append((n, p))
         self.windows = {k: {x: at if len(at) <= SHARED else Phrase(at, self.words) for x, at in v.items()} for k, v in windows.items()}
         # words and pairs of neighbours, by which divided words of a text are rejoined and words run together are split
-        self.known = {x for w in self.words for x in w}
         self.pairs: dict[str, set[tuple[str, str]]] = defaultdict(set)
         for w in self.words:
             for x, y in zip(w, w[1:]):
@@ -120,8 +123,8 @@ class Items:
         self.read: dict[str, tuple[str, int]] = {}
 
     def template(self, own: tuple[str, ...]) -> tuple[tuple, tuple]:
-        k = tuple(kind(x, self.names) for x in own)
-        return k, tuple(x for x, y in zip(own, k) if y in "#@$")
+        k = tuple(map(self.kind.__getitem__, own))
+        return k, tuple(x for x, y in zip(own, k) if y in SLOTS)
 
     def places(self, own: tuple[str, ...]) -> list[tuple[int, int]] | Phrase | None:
         """Where the items have these WINDOW words: the template joined first, then its slots."""
@@ -203,21 +206,20 @@ class Items:
             note(p, own)
         if not hits:
             return []
-        k, big = [kind(x, self.names) for x in w], [is_big(r) for r in raw]
         out = []
         for n, found in hits.items():
             found += [(p, q) for p, at in phrases for q in at.get(n, ())]
-            if self._holds(n, sorted(found), w, k, big):
+            if self._holds(n, sorted(found), w, raw):
                 out.append(self.ids[n])
         return out
 
-    def _holds(self, n: int, found: list[tuple[int, int]], w: list[str], k: list[str], big: list[bool]) -> bool:
+    def _holds(self, n: int, found: list[tuple[int, int]], w: list[str], raw: list[str]) -> bool:
         stretch: list[tuple[int, int]] = []
         for hit in [*found, (1 << 40, 0)]:
             if stretch and hit[0] - stretch[-1][0] > GAP:
                 if promising(stretch):
                     lo, hi = max(0, stretch[0][0] - GAP), stretch[-1][0] + 3 * WINDOW + GAP
-                    if passage(self.words[n], self.kinds[n], w[lo:hi], k[lo:hi], big[lo:hi]):
+                    if passage(self.words[n], self.kinds[n], w[lo:hi], [kind(x, self.names) for x in w[lo:hi]], [is_big(r) for r in raw[lo:hi]]):
                         return True
                 stretch = []
             stretch.append(hit)
@@ -251,33 +253,40 @@ def passage(item: list[str], item_kinds: list[str], text: list[str], text_kinds:
     template with other values.
     """
     m, n = len(item), len(text)
+    own = set(item)
+    two = [None, *(x + y if x + y in own else None for x, y in zip(text, text[1:]))] if n else []
+    three = [None, None, *(x + y + z if x + y + z in own else None for x, y, z in zip(text, text[1:], text[2:]))][:n]
     score = [[0] * (n + 1) for _ in range(m + 1)]
     back = [[(0, 0)] * (n + 1) for _ in range(m + 1)]
     top, end = 0, (0, 0)
-    for i in range(1, m + 1):
-        x, row, up = item[i - 1], score[i], score[i - 1]
+    for i, x in enumerate(item, 1):
+        row, up, steps = score[i], score[i - 1], back[i]
         pair = item[i - 2] + x if i > 1 else None
-        for j in range(1, n + 1):
-            y = text[j - 1]
+        left = 0
+        for j, y in enumerate(text, 1):
             if x == y:
                 best, step = up[j - 1] + 2, (1, 1)
             else:
                 best, step = up[j - 1] - 1, (1, 1)
                 if up[j] - 1 > best:
                     best, step = up[j] - 1, (1, 0)
-                if row[j - 1] - 1 > best:
-                    best, step = row[j - 1] - 1, (0, 1)
-                if len(x) > len(y) and x.endswith(y):
-                    if j > 1 and text[j - 2] + y == x and up[j - 2] + 2 > best:
+                if left - 1 > best:
+                    best, step = left - 1, (0, 1)
+                if x == two[j - 1]:
+                    if up[j - 2] + 2 > best:
                         best, step = up[j - 2] + 2, (1, 2)
-                    elif j > 2 and text[j - 3] + text[j - 2] + y == x and up[j - 3] + 2 > best:
+                elif x == three[j - 1]:
+                    if up[j - 3] + 2 > best:
                         best, step = up[j - 3] + 2, (1, 3)
                 elif pair == y and score[i - 2][j - 1] + 4 > best:
                     best, step = score[i - 2][j - 1] + 4, (2, 1)
             if best > 0:
-                row[j], back[i][j] = best, step
+                row[j] = left = best
+                steps[j] = step
                 if best > top:
                     top, end = best, (i, j)
+            else:
+                left = 0
     cost: list[float] = []  # of the item's words along the path, last first
     i, j = end
     lost: list[int] = []  # places of the item and the text in the present run of differences
