@@ -17,9 +17,9 @@ FIGURE = r"(\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?)"
 CURRENCY = r"\s*(?:de\s+)?(?:euros|€)"
 #: Where a figure stands, and how much it can be trusted, in order of precedence.
 AMOUNTS = (
-    (r"(?i)(?:importe|cuant[ií]a|valor\s+estimado)[^.;]{0,120}?" + FIGURE + CURRENCY, "alta"),
-    (r"(?i)\(" + FIGURE + r"\s*(?:€|euros)\)", "alta"),
-    (r"(?i)" + FIGURE + CURRENCY, "media"),
+    (r"(?iu)(?:importe|cuant[ií]a|valor\s+estimado)[^.;]{0,120}?" + FIGURE + CURRENCY, "alta"),
+    (r"(?iu)\(" + FIGURE + r"\s*(?:€|euros)\)", "alta"),
+    (r"(?iu)" + FIGURE + CURRENCY, "media"),
 )
 #: Classes of gazette provisions by their normalised title, in order of precedence.
 GAZETTE = (
@@ -51,7 +51,7 @@ ORGANIC = (
 
 def normal(c: Column | str) -> Column:
     """F-01: small letters without accents or punctuation, single blanks, short forms at the front written out."""
-    t = F.lower(F.translate(F.coalesce(_col(c), F.lit("")), ACCENTED, PLAIN))
+    t = F.regexp_replace(F.lower(F.translate(F.coalesce(_col(c), F.lit("")), ACCENTED, PLAIN)), r"\p{M}+", "")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
     for pattern, full in FRONT.items():
         t = F.regexp_replace(t, pattern, full)
@@ -106,12 +106,16 @@ def organic_level(name: Column | str, depth: Column | str) -> Column:
     return F.struct(F.coalesce(by_name, by_depth, F.lit("OTRO")).alias("nivel"), signal.alias("senal"))
 
 
+#: Shapes of the tax numbers of persons and of bodies.
+PERSON = r"^\*+\w+\*+$|^\d{8}[A-Z]$|^[XYZ]\d{7}[A-Z]$"
+BODY = r"^[A-HJNP-SUVW]\d{7}[0-9A-J]$"
+
+
 def beneficiary(c: Column | str) -> Column:
     """F-07: struct of tax number, name and kind of a beneficiary; without a tax number in front all is the name."""
     t = F.nullif(F.trim(_col(c)), F.lit(""))
     token, rest = F.substring_index(t, " ", 1), F.nullif(F.trim(F.regexp_replace(t, r"^\S+", "")), F.lit(""))
-    person = token.rlike(r"^\*+\w+\*+$|^\d{8}[A-Z]$|^[XYZ]\d{7}[A-Z]$")
-    body = token.rlike(r"^[A-HJNP-SUVW]\d{7}[0-9A-J]$")
+    person, body = token.rlike(PERSON), token.rlike(BODY)
     return F.struct(F.when(person | body, token).alias("nif"), F.when(person | body, rest).otherwise(t).alias("nombre"), F.when(person, "fisica").when(body, "juridica").alias("tipo"))
 
 

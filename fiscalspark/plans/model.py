@@ -53,7 +53,7 @@ def services(spark: SparkSession, d: str) -> DataFrame:
 
 def units(spark: SparkSession, d: str) -> DataFrame:
     """Unit versions: the delivery captured last of each (unit, start)."""
-    rows = table(spark, d, "dim_organica").select(codes.dir3("dir3_cod").alias("dir3_cod"), "denominacion", codes.dir3("dir3_padre_cod").alias("dir3_padre_cod"), "ministerio_denominacion", "nivel_jerarquico", "nivel_organico", "tipo_entidad", "estado", "fecha_inicio", "fecha_fin", "localidad", "fecha_captura", "version_id")
+    rows = table(spark, d, "dim_organica").select(codes.dir3("dir3_cod").alias("dir3_cod"), "denominacion", codes.dir3("dir3_padre_cod").alias("dir3_padre_cod"), codes.dir3("ministerio_dir3_cod").alias("ministerio_dir3_cod"), "ministerio_denominacion", "nivel_jerarquico", "nivel_organico", "tipo_entidad", "estado", "fecha_inicio", "fecha_fin", "localidad", "fecha_captura", "version_id")
     return latest_by(rows, ["dir3_cod", "fecha_inicio"], ["fecha_captura", "version_id"])
 
 
@@ -82,6 +82,6 @@ GRANTS = f"""sb AS (SELECT concesion_id, periodo, CAST(left(periodo, 4) AS INT)
   FROM fact_subvenciones {_latest("concesion_id", "fecha_captura DESC, importe DESC NULLS LAST")})"""
 SERVICES = f"""sv AS (SELECT ejercicio, {_two("seccion_cod")} AS seccion_cod, {_two("servicio_cod")} AS servicio_cod, presupuesto, seccion_denominacion, servicio_denominacion, origen, fecha_captura, fecha_baja
   FROM dim_seccion_servicio {_latest(f"ejercicio, {_two('dim_seccion_servicio.seccion_cod')}, {_two('dim_seccion_servicio.servicio_cod')}", "fecha_captura DESC, servicio_denominacion DESC NULLS LAST, seccion_denominacion DESC NULLS LAST")})"""
-UNITS = f"""un AS (SELECT upper(trim(dir3_cod)) AS dir3_cod, denominacion, nullif(upper(trim(dir3_padre_cod)), '') AS dir3_padre_cod, ministerio_denominacion, nivel_jerarquico, nivel_organico, tipo_entidad, estado, fecha_inicio, fecha_fin, localidad, fecha_captura, version_id
+UNITS = f"""un AS (SELECT upper(trim(dir3_cod)) AS dir3_cod, denominacion, nullif(upper(trim(dir3_padre_cod)), '') AS dir3_padre_cod, nullif(upper(trim(ministerio_dir3_cod)), '') AS ministerio_dir3_cod, ministerio_denominacion, nivel_jerarquico, nivel_organico, tipo_entidad, estado, fecha_inicio, fecha_fin, localidad, fecha_captura, version_id
   FROM dim_organica {_latest("upper(trim(dim_organica.dir3_cod)), fecha_inicio", "fecha_captura DESC, version_id DESC")})"""
 BRIDGE = f"""br AS (SELECT DISTINCT ejercicio, {_two("seccion_cod")} AS seccion_cod, {_two("servicio_cod")} AS servicio_cod, upper(trim(dir3_cod)) AS dir3_cod FROM crosswalk_servicio_dir3 WHERE dir3_cod IS NOT NULL)"""

@@ -59,16 +59,18 @@ def unit_levels(spark: SparkSession, d: str) -> DataFrame:
 def crosswalk_rules(spark: SparkSession, d: str) -> DataFrame:
     """E-07, J-18, J-20, J-21: units for the crosswalk's services by ordered rules within the ministry: equal name, equal words, unique front.
 
-    Candidates of all rules are one union; the lowest rule of a row stays, of its candidates the smallest code.
+    Candidates of all rules are one union; the lowest rule of a row stays, of its candidates the smallest code. Those of the
+    prefix rule meet by all words of the row but the last, which may go on in the unit's name.
     """
     rows = table(spark, d, "crosswalk_servicio_dir3").where("seccion_denominacion IS NOT NULL").groupBy("cruce_id").agg(F.max(F.struct("servicio_denominacion", "seccion_denominacion")).alias("r"))
     r = rows.select("cruce_id", text.normal("r.servicio_denominacion").alias("n"), text.token_key("r.servicio_denominacion").alias("k"), text.token_key("r.seccion_denominacion", "ministerio").alias("m"))
     u = model.units(spark, d).select("dir3_cod", text.normal("denominacion").alias("un"), text.token_key("denominacion").alias("uk"), text.token_key("ministerio_denominacion", "ministerio").alias("m")).distinct()
     exact = r.join(u, (r["m"] == u["m"]) & (r["n"] == u["un"])).select("cruce_id", F.lit(1).alias("rule"), "dir3_cod")
     words = r.join(u, (r["m"] == u["m"]) & (r["k"] == u["uk"])).select("cruce_id", F.lit(2).alias("rule"), "dir3_cod")
-    front = F.array_join(F.slice(F.split("un", " "), 1, 6), " ")
-    p = r.where("size(split(n, ' ')) >= 6").withColumn("f", F.array_join(F.slice(F.split("n", " "), 1, 6), " "))
-    q = u.withColumn("f", front)
+    words_of = F.split("n", " ")
+    p = r.where("n <> ''").withColumn("f", F.array_join(F.slice(words_of, 1, F.size(words_of) - 1), " "))
+    unit_words = F.split("un", " ")
+    q = u.withColumn("j", F.explode(F.sequence(F.lit(0), F.size(unit_words) - 1))).withColumn("f", F.array_join(F.slice(unit_words, F.lit(1), F.col("j")), " "))
     starts = p.join(q, (p["m"] == q["m"]) & (p["f"] == q["f"])).where("startswith(un, n)").select("cruce_id", "dir3_cod").distinct()
     unique = starts.groupBy("cruce_id").agg(F.count("*").alias("c"), F.max("dir3_cod").alias("dir3_cod")).where("c = 1").select("cruce_id", F.lit(3).alias("rule"), "dir3_cod")
     best = exact.unionByName(words).unionByName(unique).groupBy("cruce_id").agg(F.min(F.struct("rule", "dir3_cod")).alias("b"))
@@ -149,24 +151,26 @@ def _key(c: str, *more: str) -> str:
     return f"array_to_string(list_sort(list_distinct(list_filter(string_split({_normal(c)}, ' '), lambda x: x NOT IN ({stop})))), ' ')"
 
 
-_ASCENT = f"""WITH RECURSIVE {model.UNITS}, {model.BRIDGE}, tg AS (SELECT dir3_cod, ejercicio, min((seccion_cod, servicio_cod)) AS t FROM br GROUP BY 1, 2),
-r AS (SELECT licitacion_id, max((coalesce(fecha_adjudicacion, fecha_actualizacion), nullif(upper(trim(organo_dir3_cod)), ''), CAST(left(periodo, 4) AS INT))) AS x FROM fact_contratos GROUP BY 1),
-rq AS (SELECT licitacion_id, x[1] AS day, x[2] AS code, x[3] AS year FROM r),
-asc_ AS (SELECT licitacion_id, day, year, code, code AS cur, 0 AS hop FROM rq WHERE regexp_matches(code, '{UNIT}')
-  UNION ALL SELECT a.licitacion_id, a.day, a.year, a.code, v.dir3_padre_cod, a.hop + 1
-  FROM asc_ a JOIN (SELECT a2.dir3_cod, a2.dir3_padre_cod, a2.tipo_entidad, a2.fecha_inicio, a2.fecha_fin FROM un a2) v ON v.dir3_cod = a.cur AND v.fecha_inicio <= a.day AND (v.fecha_fin IS NULL OR v.fecha_fin >= a.day)
+_CLIMB = f"""tg AS (SELECT dir3_cod, ejercicio, min((seccion_cod, servicio_cod)) AS t FROM br GROUP BY 1, 2),
+asc_ AS (SELECT id, day, year, code, code AS cur, 0 AS hop FROM rq WHERE regexp_matches(code, '{UNIT}')
+  UNION ALL SELECT a.id, a.day, a.year, a.code, v.dir3_padre_cod, a.hop + 1
+  FROM asc_ a JOIN (SELECT a2.dir3_cod, a2.dir3_padre_cod, a2.tipo_entidad, a2.fecha_inicio, a2.fecha_fin FROM un a2) v ON v.dir3_cod = a.cur AND CASE WHEN a.day IS NULL THEN v.fecha_fin IS NULL ELSE v.fecha_inicio <= a.day AND (v.fecha_fin IS NULL OR v.fecha_fin >= a.day) END
   WHERE a.hop < {HOPS - 1} AND NOT EXISTS (SELECT 1 FROM tg WHERE tg.dir3_cod = a.cur AND tg.ejercicio = a.year)
-    AND NOT EXISTS (SELECT 1 FROM un w WHERE w.dir3_cod = a.cur AND w.fecha_inicio <= a.day AND (w.fecha_fin IS NULL OR w.fecha_fin >= a.day) AND w.fecha_inicio > v.fecha_inicio)
+    AND NOT EXISTS (SELECT 1 FROM un w WHERE w.dir3_cod = a.cur AND CASE WHEN a.day IS NULL THEN w.fecha_fin IS NULL ELSE w.fecha_inicio <= a.day AND (w.fecha_fin IS NULL OR w.fecha_fin >= a.day) END AND w.fecha_inicio > v.fecha_inicio)
     AND (v.tipo_entidad IS NULL OR v.tipo_entidad = 'MN') AND v.dir3_padre_cod IS NOT NULL AND v.dir3_padre_cod <> a.cur),
-l AS (SELECT * FROM asc_ QUALIFY row_number() OVER (PARTITION BY licitacion_id ORDER BY hop DESC) = 1),
-e AS (SELECT l.licitacion_id, l.code, l.cur, l.year, tg.t, (SELECT arg_max(tipo_entidad, fecha_inicio) FROM (SELECT coalesce(tipo_entidad, 'MN') AS tipo_entidad, fecha_inicio FROM un w WHERE w.dir3_cod = l.cur AND w.fecha_inicio <= l.day AND (w.fecha_fin IS NULL OR w.fecha_fin >= l.day))) AS k,
-  EXISTS (SELECT 1 FROM un WHERE un.dir3_cod = l.code) AS known, EXISTS (SELECT 1 FROM br WHERE br.ejercicio = l.year) AS covered FROM l LEFT JOIN tg ON tg.dir3_cod = l.cur AND tg.ejercicio = l.year)
-SELECT rq.licitacion_id, t[1] AS seccion_cod, t[2] AS servicio_cod,
+l AS (SELECT * FROM asc_ QUALIFY row_number() OVER (PARTITION BY id ORDER BY hop DESC) = 1),
+e AS (SELECT l.id, l.code, l.cur, l.year, tg.t, (SELECT arg_max(tipo_entidad, fecha_inicio) FROM (SELECT coalesce(tipo_entidad, 'MN') AS tipo_entidad, fecha_inicio FROM un w WHERE w.dir3_cod = l.cur AND CASE WHEN l.day IS NULL THEN w.fecha_fin IS NULL ELSE w.fecha_inicio <= l.day AND (w.fecha_fin IS NULL OR w.fecha_fin >= l.day) END)) AS k,
+  EXISTS (SELECT 1 FROM un WHERE un.dir3_cod = l.code) AS known, EXISTS (SELECT 1 FROM br WHERE br.ejercicio = l.year) AS covered FROM l LEFT JOIN tg ON tg.dir3_cod = l.cur AND tg.ejercicio = l.year),
+an AS (SELECT rq.id, t[1] AS seccion_cod, t[2] AS servicio_cod,
   CASE WHEN e.code IS NULL THEN NULL WHEN t IS NOT NULL THEN cur ELSE e.code END AS anclaje_dir3_cod,
   CASE WHEN e.code IS NULL THEN 'sin_anclar' WHEN t IS NOT NULL THEN 'servicio' WHEN k <> 'MN' OR known THEN 'organica_sin_servicio' ELSE 'fuera_perimetro' END AS anclaje_tipo,
   CASE WHEN rq.code IS NULL THEN 'sin_dir3' WHEN e.code IS NULL THEN 'dir3_malformado' WHEN t IS NOT NULL THEN CASE WHEN cur = e.code THEN 'dir3_directo' ELSE 'dir3_ancestro' END
     WHEN k <> 'MN' THEN 'entidad_instrumental' WHEN known AND covered THEN 'sin_servicio_en_cadena' WHEN known THEN 'ejercicio_sin_crosswalk' ELSE 'dir3_no_age' END AS anclaje_senal
-FROM rq LEFT JOIN e USING (licitacion_id)"""
+FROM rq LEFT JOIN e USING (id))"""
+_ASCENT = f"""WITH RECURSIVE {model.UNITS}, {model.BRIDGE},
+r AS (SELECT licitacion_id, max((coalesce(fecha_adjudicacion, fecha_actualizacion), nullif(upper(trim(organo_dir3_cod)), ''), CAST(left(periodo, 4) AS INT))) AS x FROM fact_contratos GROUP BY 1),
+rq AS (SELECT licitacion_id AS id, x[1] AS day, x[2] AS code, x[3] AS year FROM r), {_CLIMB}
+SELECT id AS licitacion_id, seccion_cod, servicio_cod, anclaje_dir3_cod, anclaje_tipo, anclaje_senal FROM an"""
 _DECISIONS = """dc AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS ejercicio, o_orderpriority AS p, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders),
 da AS (SELECT *, ltrim(reverse(regexp_replace(reverse(CAST(c // 100 AS VARCHAR)), '(\\d\\d\\d)', '\\1.', 'g')), '.') || ',' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS a FROM dc),
 dt AS (SELECT id, ejercicio, CASE left(p, 1) WHEN '1' THEN 'convocatoria_subvencion' WHEN '2' THEN 'subvencion_directa' WHEN '3' THEN 'transferencia_credito' WHEN '4' THEN 'modificacion_credito' ELSE 'otro' END AS tipo,
@@ -175,7 +179,7 @@ _CROSS = f"""WITH {model.UNITS}, r0 AS (SELECT cruce_id, max((servicio_denominac
 r AS (SELECT cruce_id, {_normal("r[1]")} AS n, {_key("r[1]")} AS k, {_key("r[2]", "ministerio")} AS m FROM r0),
 u AS (SELECT DISTINCT dir3_cod, {_normal("denominacion")} AS un, {_key("denominacion")} AS uk, {_key("ministerio_denominacion", "ministerio")} AS m FROM un),
 c AS (SELECT cruce_id, 1 AS rule, dir3_cod FROM r JOIN u ON r.m = u.m AND r.n = u.un UNION ALL SELECT cruce_id, 2, dir3_cod FROM r JOIN u ON r.m = u.m AND r.k = u.uk
-  UNION ALL SELECT cruce_id, 3, max(dir3_cod) FROM (SELECT DISTINCT cruce_id, dir3_cod FROM r JOIN u ON r.m = u.m AND starts_with(u.un, r.n) WHERE len(string_split(r.n, ' ')) >= 6) GROUP BY 1 HAVING count(*) = 1),
+  UNION ALL SELECT cruce_id, 3, max(dir3_cod) FROM (SELECT DISTINCT cruce_id, dir3_cod FROM r JOIN u ON r.m = u.m AND r.n <> '' AND starts_with(u.un, r.n)) GROUP BY 1 HAVING count(*) = 1),
 x AS (SELECT cruce_id, min((rule, dir3_cod)) AS b FROM c GROUP BY 1)"""
 _m = metrics._money
 SQL = {
