@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,8 @@ def rhythm(level: str, year: int = YEAR):
     """M-02: execution degree in each month of a year."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return sums(spark, d, level, F.col("ejercicio") == year).withColumn("pct_ejecucion", F.round(ratio("orn", "credito_definitivo", 100.0), 4))
+        # the period is a key of the deliveries, so its front prunes the scan; the year is only known of the latest delivery
+        return sums(spark, d, level, F.col("periodo").startswith(f"{year}-")).withColumn("pct_ejecucion", F.round(ratio("orn", "credito_definitivo", 100.0), 4))
 
     return query
 
@@ -93,13 +96,22 @@ def modifications(level: str, period: str = MONTH):
 FLOWS = {"contratos": (model.contracts, "importe_adjudicacion"), "subvenciones": (model.grants, "importe")}
 
 
-def volume(flow: str, level: str, year: int = YEAR):
-    """M-05, M-06: number and amount of contracts or grants of a year. Sections and services count what is anchored to a
+def window_of(period: str | None, year: int | None) -> Column:
+    """P-01: rows of a period, else of a year, else all; a period goes before a year. A period of another shape is an error."""
+    if period is not None:
+        if not re.match(r"^\d{4}-(0[1-9]|1[0-2])$", period):
+            raise ValueError(f"period must be YYYY-MM: {period}")
+        return F.col("periodo") == period
+    return F.lit(True) if year is None else F.col("ejercicio") == year
+
+
+def volume(flow: str, level: str, year: int | None = YEAR, period: str | None = None):
+    """M-05, M-06: number and amount of contracts or grants of a window of time. Sections and services count what is anchored to a
     service, units what has a unit, the grand total everything."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         frame, amount = FLOWS[flow]
-        rows = frame(spark, d).where(F.col("ejercicio") == year)
+        rows = frame(spark, d).where(window_of(period, year))
         if level in ("seccion", "servicio"):
             rows = rows.where("anclaje_tipo = 'servicio'")
         elif level == "dg":
@@ -109,23 +121,23 @@ def volume(flow: str, level: str, year: int = YEAR):
     return query
 
 
-def anchoring(flow: str, year: int = YEAR):
-    """A-04: rows and amount by kind of anchor, with their percentages."""
+def anchoring(flow: str, year: int | None = YEAR, period: str | None = None):
+    """A-04: rows and amount by kind of anchor, with their percentages: what share of a volume its levels can show."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         frame, amount = FLOWS[flow]
-        s = frame(spark, d).where(F.col("ejercicio") == year).groupBy("anclaje_tipo").agg(F.count("*").alias("n"), F.coalesce(money(amount), F.lit(0.0)).alias("importe"))
+        s = frame(spark, d).where(window_of(period, year)).groupBy("anclaje_tipo").agg(F.count("*").alias("n"), F.coalesce(money(amount), F.lit(0.0)).alias("importe"))
         w = Window.partitionBy(F.lit(1))
         return s.select("anclaje_tipo", "n", "importe", F.round(ratio(F.col("n").cast("double"), F.sum("n").over(w).cast("double"), 100.0), 4).alias("pct_n"), F.round(ratio("importe", F.sum(F.col("importe").cast("decimal(18,2)")).over(w).cast("double"), 100.0), 4).alias("pct_importe"))
 
     return query
 
 
-def suppliers(level: str, year: int = YEAR, top: int = 5):
-    """M-07: concentration of suppliers by body."""
+def suppliers(level: str, year: int | None = YEAR, top: int = 5, period: str | None = None):
+    """M-07: concentration of suppliers by body in a window of time."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = model.contracts(spark, d).where((F.col("ejercicio") == year) & (F.col("anclaje_tipo") == "servicio"))
+        rows = model.contracts(spark, d).where(window_of(period, year) & (F.col("anclaje_tipo") == "servicio"))
         if level == "dg":
             rows = rows.where("anclaje_dir3_cod IS NOT NULL").withColumn("dir3_cod", F.col("anclaje_dir3_cod"))
         return concentration(rows, LEVELS[level], "adjudicatario_id", "importe_adjudicacion", top)
@@ -175,6 +187,14 @@ QUERIES = {
     "m12_cobertura_dg": unit_coverage(),
     "m14_frescura": freshness,
     **{f"a04_anclaje_{x}": anchoring(x) for x in FLOWS},
+    "m05_contratos_seccion_periodo": volume("contratos", "seccion", None, MONTH),
+    "m05_contratos_seccion_todo": volume("contratos", "seccion", None),
+    "m06_subvenciones_servicio_periodo": volume("subvenciones", "servicio", None, MONTH),
+    "m06_subvenciones_dg_todo": volume("subvenciones", "dg", None),
+    "m07_concentracion_servicio_periodo": suppliers("servicio", None, 5, MONTH),
+    "m07_concentracion_seccion_todo": suppliers("seccion", None),
+    "a04_anclaje_contratos_periodo": anchoring("contratos", None, MONTH),
+    "a04_anclaje_subvenciones_todo": anchoring("subvenciones", None),
 }
 
 _UNIT = f"""lu AS (SELECT br.ejercicio, br.seccion_cod, br.servicio_cod,
@@ -202,20 +222,21 @@ def _sums(level: str, keep: str) -> str:
 _PCT = "round(100.0 * {0} / nullif({1}, 0), 4)"
 
 
-def _volume(flow: str, level: str, year: int) -> str:
+def _volume(flow: str, level: str, window: int | str) -> str:
+    window = f"ejercicio = {window}" if isinstance(window, int) else window
     cte, name, amount = {"contratos": (model.CONTRACTS, "ct", "importe_adjudicacion"), "subvenciones": (model.GRANTS, "sb", "importe")}[flow]
     keep = {"age": "", "dg": "AND anclaje_dir3_cod IS NOT NULL"}.get(level, "AND anclaje_tipo = 'servicio'")
     cols = "anclaje_dir3_cod AS dir3_cod, " if level == "dg" else _cols(level)
     group = "GROUP BY ALL" if LEVELS[level] else ""
-    return f"{cte}, v AS (SELECT {cols}count(*) AS n, {_money(amount)} AS importe FROM {name} WHERE ejercicio = {year} {keep} {group})"
+    return f"{cte}, v AS (SELECT {cols}count(*) AS n, {_money(amount)} AS importe FROM {name} WHERE {window} {keep} {group})"
 
 
-def _suppliers(level: str) -> str:
+def _suppliers(level: str, window: str = f"ejercicio = {YEAR}") -> str:
     col = "anclaje_dir3_cod AS dir3_cod, " if level == "dg" else _cols(level)
     by = _cols(level)
     part = by.rstrip(", ")
     return f"""WITH {model.CONTRACTS}, b AS (SELECT {col}adjudicatario_id, {_money("importe_adjudicacion")} AS imp FROM ct
-  WHERE ejercicio = {YEAR} AND anclaje_tipo = 'servicio' {"AND anclaje_dir3_cod IS NOT NULL" if level == "dg" else ""} AND adjudicatario_id IS NOT NULL AND importe_adjudicacion > 0 GROUP BY ALL),
+  WHERE {window} AND anclaje_tipo = 'servicio' {"AND anclaje_dir3_cod IS NOT NULL" if level == "dg" else ""} AND adjudicatario_id IS NOT NULL AND importe_adjudicacion > 0 GROUP BY ALL),
 r AS (SELECT *, imp / sum(imp) OVER (PARTITION BY {part}) AS sh, row_number() OVER (PARTITION BY {part} ORDER BY imp DESC, adjudicatario_id) AS rn FROM b)
 SELECT {by}count(*) AS n_adjudicatarios, {_money("imp")} AS importe_total, round(10000 * sum(sh * sh), 0) AS hhi, round(100 * sum(CASE WHEN rn <= 5 THEN sh ELSE 0 END), 1) AS pct_top FROM r GROUP BY ALL"""
 
@@ -236,9 +257,9 @@ def _commitment(level: str) -> str:
 SELECT *, round(adjudicado / nullif(orn, 0), 4) AS ratio FROM j"""
 
 
-def _anchoring(flow: str) -> str:
+def _anchoring(flow: str, window: str = f"ejercicio = {YEAR}") -> str:
     cte, name, amount = {"contratos": (model.CONTRACTS, "ct", "importe_adjudicacion"), "subvenciones": (model.GRANTS, "sb", "importe")}[flow]
-    return f"""WITH {cte}, s AS (SELECT anclaje_tipo, count(*) AS n, coalesce({_money(amount)}, 0) AS importe FROM {name} WHERE ejercicio = {YEAR} GROUP BY 1)
+    return f"""WITH {cte}, s AS (SELECT anclaje_tipo, count(*) AS n, coalesce({_money(amount)}, 0) AS importe FROM {name} WHERE {window} GROUP BY 1)
 SELECT *, round(100.0 * n / nullif(CAST(sum(n) OVER () AS DOUBLE), 0), 4) AS pct_n, round(100.0 * importe / nullif(CAST(sum(CAST(importe AS DECIMAL(18,2))) OVER () AS DOUBLE), 0), 4) AS pct_importe FROM s"""
 
 
@@ -255,4 +276,12 @@ SQL = {
     "m12_cobertura_dg": _sums("dg", f"periodo = '{MONTH}'") + f", g AS (SELECT coalesce({_money(f'''CASE WHEN dir3_cod <> '{RESIDUE}' THEN orn END''')}, 0) AS orn_atribuido, {_money('orn')} AS orn_total FROM s) SELECT *, {_PCT.format('orn_atribuido', 'orn_total')} AS pct_atribuido FROM g",
     "m14_frescura": f"WITH {model.EXECUTION} SELECT max(fecha_captura) AS ultima_captura, min(periodo) AS desde, max(periodo) AS hasta FROM ej",
     **{f"a04_anclaje_{x}": _anchoring(x) for x in FLOWS},
+    "m05_contratos_seccion_periodo": f"WITH {_volume('contratos', 'seccion', f"periodo = '{MONTH}'")} SELECT * FROM v",
+    "m05_contratos_seccion_todo": f"WITH {_volume('contratos', 'seccion', 'true')} SELECT * FROM v",
+    "m06_subvenciones_servicio_periodo": f"WITH {_volume('subvenciones', 'servicio', f"periodo = '{MONTH}'")} SELECT * FROM v",
+    "m06_subvenciones_dg_todo": f"WITH {_volume('subvenciones', 'dg', 'true')} SELECT * FROM v",
+    "m07_concentracion_servicio_periodo": _suppliers("servicio", f"periodo = '{MONTH}'"),
+    "m07_concentracion_seccion_todo": _suppliers("seccion", "true"),
+    "a04_anclaje_contratos_periodo": _anchoring("contratos", f"periodo = '{MONTH}'"),
+    "a04_anclaje_subvenciones_todo": _anchoring("subvenciones", "true"),
 }

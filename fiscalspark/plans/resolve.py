@@ -1,4 +1,4 @@
-"""Anchoring of records to the organic spine, text-born decisions and name matching (E-01 to E-08, F-01 to F-07, M-08, M-10)."""
+"""Anchoring of records to the organic spine by code, and names of units (E-01 to E-03, E-07, E-08, F-01, F-02, F-06, F-07)."""
 
 from __future__ import annotations
 
@@ -85,42 +85,6 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("u", F.lit(1)).join(F.broadcast(total), "u").select("regla", "n", F.round(100.0 * F.col("n") / F.col("t"), 4).alias("pct"))
 
 
-#: SQL of an amount of c cents in Spanish notation.
-SPANISH = r"concat(reverse(regexp_replace(reverse(CAST(c DIV 100 AS STRING)), '(\\d{3})(?=\\d)', '$1.')), ',', lpad(CAST(c % 100 AS STRING), 2, '0'))"
-
-
-def decisions(spark: SparkSession, d: str) -> DataFrame:
-    """One decision per order: title by priority, amount in one of five ways."""
-    o = table(spark, d, "orders").selectExpr("o_orderkey AS id", "CAST(year(o_orderdate) AS INT) AS ejercicio", "o_orderpriority AS p", "CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c").selectExpr("*", f"{SPANISH} AS a")
-    return o.selectExpr(
-        "id", "ejercicio",
-        "CASE substr(p, 1, 1) WHEN '1' THEN 'Extracto de la Orden por la que se convocan ayudas' WHEN '2' THEN 'Real Decreto de concesión directa de una subvención' WHEN '3' THEN 'Acuerdo de transferencia de crédito' WHEN '4' THEN 'Ampliación de crédito del programa' ELSE 'Nombramiento de vocales' END AS titulo",
-        "CASE CAST(id % 5 AS INT) WHEN 0 THEN concat('por un importe total de ', a, ' euros') WHEN 1 THEN concat('según la tabla (', a, ' €) adjunta') WHEN 2 THEN concat('Primer premio: ', a, ' euros') WHEN 3 THEN 'un millón de euros' ELSE 'sin cuantía' END AS texto",
-    )
-
-
-def amounts(spark: SparkSession, d: str) -> DataFrame:
-    """F-03: amounts and their trust over all decisions, by trust."""
-    a = text.amount("texto")
-    rows = decisions(spark, d).select(a["importe"].alias("importe"), a["confianza"].alias("confianza"))
-    return rows.groupBy("confianza").agg(F.count("*").alias("n"), money("importe").alias("importe"))
-
-
-def decision_volume(spark: SparkSession, d: str) -> DataFrame:
-    """M-08: decisions by year and class: number, amount of high and medium trust, number without amount."""
-    a = text.amount("texto")
-    rows = decisions(spark, d).select("ejercicio", text.gazette_class("titulo").alias("tipo"), a["importe"].alias("importe"), a["confianza"].alias("confianza"))
-    part = lambda c: F.coalesce(money(F.when(F.col("confianza") == c, F.col("importe"))), F.lit(0.0))
-    return rows.groupBy("ejercicio", "tipo").agg(F.count("*").alias("n"), part("alta").alias("importe_alta"), part("media").alias("importe_media"), F.count_if(F.col("confianza") == "sin_importe").alias("n_sin_importe"))
-
-
-def decisions_and_commitment(spark: SparkSession, d: str) -> DataFrame:
-    """M-10: decisions of a class against contracts by year, missing sides 0."""
-    a = decision_volume(spark, d).where("tipo = 'convocatoria_subvencion'").select("ejercicio", F.col("n").alias("n_decisiones"), "importe_alta")
-    c = model.contracts(spark, d).groupBy("ejercicio").agg(money("importe_adjudicacion").alias("adjudicado"))
-    return a.join(c, "ejercicio", "full").na.fill(0)
-
-
 def normal_names(spark: SparkSession, d: str) -> DataFrame:
     """F-01, F-02: normal form and token key of the unit names."""
     return model.units(spark, d).select("denominacion").distinct().select("denominacion", text.normal("denominacion").alias("normal"), text.token_key("denominacion").alias("clave"))
@@ -135,7 +99,7 @@ def beneficiaries(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "e01_anclaje": contract_anchors, "e02_destino": smallest_target, "e07_cruce": crosswalk_rules, "e08_niveles": unit_levels, "a17_cobertura": coverage,
-    "f01_nombres": normal_names, "f03_importes": amounts, "f07_beneficiarios": beneficiaries, "m08_decisiones": decision_volume, "m10_decisiones_contratos": decisions_and_commitment,
+    "f01_nombres": normal_names, "f07_beneficiarios": beneficiaries,
 }
 
 
@@ -171,10 +135,6 @@ _ASCENT = f"""WITH RECURSIVE {model.UNITS}, {model.BRIDGE},
 r AS (SELECT licitacion_id, max((coalesce(fecha_adjudicacion, fecha_actualizacion), nullif(upper(trim(organo_dir3_cod)), ''), CAST(left(periodo, 4) AS INT))) AS x FROM fact_contratos GROUP BY 1),
 rq AS (SELECT licitacion_id AS id, x[1] AS day, x[2] AS code, x[3] AS year FROM r), {_CLIMB}
 SELECT id AS licitacion_id, seccion_cod, servicio_cod, anclaje_dir3_cod, anclaje_tipo, anclaje_senal FROM an"""
-_DECISIONS = """dc AS (SELECT o_orderkey AS id, CAST(year(o_orderdate) AS INT) AS ejercicio, o_orderpriority AS p, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS c FROM orders),
-da AS (SELECT *, ltrim(reverse(regexp_replace(reverse(CAST(c // 100 AS VARCHAR)), '(\\d\\d\\d)', '\\1.', 'g')), '.') || ',' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS a FROM dc),
-dt AS (SELECT id, ejercicio, CASE left(p, 1) WHEN '1' THEN 'convocatoria_subvencion' WHEN '2' THEN 'subvencion_directa' WHEN '3' THEN 'transferencia_credito' WHEN '4' THEN 'modificacion_credito' ELSE 'otro' END AS tipo,
-  CASE id % 5 WHEN 0 THEN 'alta' WHEN 1 THEN 'alta' WHEN 2 THEN 'media' ELSE 'sin_importe' END AS confianza, CASE WHEN id % 5 < 3 THEN CAST(replace(replace(a, '.', ''), ',', '.') AS DOUBLE) END AS importe FROM da)"""
 _CROSS = f"""WITH {model.UNITS}, r0 AS (SELECT cruce_id, max((servicio_denominacion, seccion_denominacion)) AS r FROM crosswalk_servicio_dir3 WHERE seccion_denominacion IS NOT NULL GROUP BY 1),
 r AS (SELECT cruce_id, {_normal("r[1]")} AS n, {_key("r[1]")} AS k, {_key("r[2]", "ministerio")} AS m FROM r0),
 u AS (SELECT DISTINCT dir3_cod, {_normal("denominacion")} AS un, {_key("denominacion")} AS uk, {_key("ministerio_denominacion", "ministerio")} AS m FROM un),
@@ -192,12 +152,7 @@ SELECT dir3_cod, version_id, coalesce(fecha_inicio, fecha_captura) AS inicio, CA
   CASE WHEN {" OR ".join(f"regexp_matches(n, '{p}')" for _, p in text.ORGANIC)} THEN 'denominacion' WHEN nivel_jerarquico = 1 THEN 'profundidad' ELSE 'sin_senal' END AS senal FROM n""",
     "a17_cobertura": _CROSS + ", a AS (SELECT DISTINCT cruce_id FROM crosswalk_servicio_dir3) SELECT coalesce(b[1], 0) AS regla, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM a), 4) AS pct FROM a LEFT JOIN x USING (cruce_id) GROUP BY 1",
     "f01_nombres": f"WITH {model.UNITS} SELECT DISTINCT denominacion, {_normal('denominacion')} AS normal, {_key('denominacion')} AS clave FROM un",
-    "f03_importes": f"WITH {_DECISIONS} SELECT confianza, count(*) AS n, {_m('importe')} AS importe FROM dt GROUP BY 1",
     "f07_beneficiarios": r"""WITH b AS (SELECT DISTINCT concesion_id, concat_ws(' ', beneficiario_nif, beneficiario_nombre) AS b FROM fact_subvenciones),
 t AS (SELECT split_part(trim(b), ' ', 1) AS k FROM b), c AS (SELECT k, CASE WHEN regexp_matches(k, '^\*+\w+\*+$|^\d{8}[A-Z]$|^[XYZ]\d{7}[A-Z]$') THEN 'fisica' WHEN regexp_matches(k, '^[A-HJNP-SUVW]\d{7}[0-9A-J]$') THEN 'juridica' END AS tipo FROM t)
 SELECT tipo, count(*) AS n, count(*) FILTER (WHERE tipo IS NOT NULL) AS con_nif FROM c GROUP BY 1""",
-    "m08_decisiones": f"""WITH {_DECISIONS} SELECT ejercicio, tipo, count(*) AS n, coalesce({_m("CASE WHEN confianza = 'alta' THEN importe END")}, 0) AS importe_alta, coalesce({_m("CASE WHEN confianza = 'media' THEN importe END")}, 0) AS importe_media,
-  count(*) FILTER (WHERE confianza = 'sin_importe') AS n_sin_importe FROM dt GROUP BY 1, 2""",
-    "m10_decisiones_contratos": f"""WITH {_DECISIONS}, {model.CONTRACTS}, a AS (SELECT ejercicio, count(*) AS n_decisiones, coalesce({_m("CASE WHEN confianza = 'alta' THEN importe END")}, 0) AS importe_alta FROM dt WHERE tipo = 'convocatoria_subvencion' GROUP BY 1),
-c AS (SELECT ejercicio, {_m("importe_adjudicacion")} AS adjudicado FROM ct GROUP BY 1) SELECT ejercicio, coalesce(n_decisiones, 0) AS n_decisiones, coalesce(importe_alta, 0) AS importe_alta, coalesce(adjudicado, 0) AS adjudicado FROM a FULL JOIN c USING (ejercicio)""",
 }

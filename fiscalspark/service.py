@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscalspark.plans import alerts, catalog, metrics, model, resolve
+from fiscalspark.plans import alerts, catalog, decisions, metrics, model
 
 PERIOD = re.compile(r"^\d{4}-(0[1-9]|1[0-2])$")
 #: Nature of the figures, and what must be said with them.
@@ -103,7 +103,7 @@ class Service:
         return self._give(metrics.suppliers(level, year, top), self._level(level, ("seccion", "servicio", "dg")), "hhi", **p)
 
     def decisions(self, **p) -> dict:
-        return self._give(resolve.decision_volume, ["ejercicio", "tipo"], "n", **p)
+        return self._give(decisions.volume("boe"), ["grupo", "tipo"], "n", **p)
 
     def commitment(self, period: str, level: str = "seccion", **p) -> dict:
         return self._give(metrics.commitment(level, self._period(period)), self._level(level, ("seccion", "servicio")), "adjudicado", **p)
