@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscalspark.session import salted_join
+from fiscalspark.session import materialise, salted_join
 
 STATE = "array<struct<ini:date,cap:date,vid:bigint,fin:date>>"
 
@@ -60,15 +60,15 @@ def as_known(events: DataFrame, versions: DataFrame, period: str = "quarter") ->
     unit, day) counts once. Other columns are ignored. Empty tables give no rows.
 
     The answer depends on (unit, day) only: distinct pairs are resolved first, joined to the snapshot that begins
-    their period, and only the period's changes are replayed. The join back is salted if the answers are many,
-    so a unit with a large part of the events is split.
+    their period, and only the period's changes are replayed. Snapshots and answers are written once each. In the join back a
+    (unit, day) with a large part of the events is split by salt.
     """
     e = events.where("id IS NOT NULL AND unit IS NOT NULL AND day IS NOT NULL").select("id", "unit", "day").distinct()
     pairs = e.select("unit", "day").distinct().withColumn("since", F.date_trunc(period, "day").cast("date"))
     step = {"month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}[period]
     wanted = pairs.select("unit", "since").distinct().withColumn("until", F.expr(f"CAST(since + {step} AS DATE)"))
-    snap = snapshots(change_log(versions), wanted)
+    snap = materialise(snapshots(change_log(versions), wanted))
     replayed = latest_by_version(F.concat("state", F.filter("changes", lambda x: x["cap"] <= F.col("day"))))
     valid = F.filter(replayed, lambda x: (x["ini"] <= F.col("day")) & (x["fin"].isNull() | (x["fin"] >= F.col("day"))))
     answers = pairs.join(snap, ["unit", "since"]).select("unit", "day", F.get(valid, F.lit(0))["vid"].alias("vid")).where("vid IS NOT NULL")
-    return e.join(answers, ["unit", "day"]).select("id", "vid")
+    return salted_join(e, materialise(answers), ["unit", "day"]).select("id", "vid")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscalspark.session import at_most, ship, width
+from fiscalspark.session import at_most, materialise, ship, width
 
 #: A parent entry is packed as key * DAY_SPAN + day, days counted from DAY_ZERO days before 1970.
 DAY_SPAN, DAY_ZERO = 1 << 22, 1 << 20
@@ -50,7 +50,9 @@ def range_of(key, bounds: list[int]):
     """Number of the range that holds key."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key))
+    # halved range by range, so that a key is compared log2(ranges) times
+    mid = len(bounds) // 2
+    return F.when(key < bounds[mid], range_of(key, bounds[:mid])).otherwise(F.lit(mid + 1) + range_of(key, bounds[mid + 1 :]))
 
 
 def prefix_max(codes: np.ndarray, until: np.ndarray) -> np.ndarray:
@@ -98,8 +100,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows_per_range: int =
     Other columns of either table, whatever their names, are ignored.
 
     Parents become sorted arrays by key range and references are probed by binary search, an Arrow batch at a
-    time. Arrays of at most ``broadcast_rows`` entries (counted) go to every task; larger ones are sent by range and salt, so
-    that a range or key which holds a large part of the references is split over many tasks.
+    time. Arrays of at most ``broadcast_rows`` entries (counted) go to every task; larger ones are sent by range and
+    salt, so that a range or key which holds a large part of the references is split over many tasks; only such ranges are
+    copied. There is one row a range to count and to broadcast.
     """
     spark = ship(refs.sparkSession)
     record = (
@@ -120,8 +123,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, rows_per_range: int =
 
         return record.mapInArrow(mapped, RESULT)
     n = width(spark)
-    left = record.select(range_of(F.col("key"), bounds).alias("rng"), F.pmod(F.xxhash64("tabla", "clave"), F.lit(n)).cast("int").alias("salt"), F.lit(1).alias("kind"), "tabla", "clave", "periodo", "key", "day", F.lit(None).cast("array<long>").alias("codes"), F.lit(None).cast("array<long>").alias("until"))
-    right = arrays.select("rng", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"), F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("tabla", "string"), ("clave", "string"), ("periodo", "string"), ("key", "long"), ("day", "long"))], "codes", "until")
+    ranged = record.withColumn("rng", range_of(F.col("key"), bounds))
+    # a range that holds more references than a task should is read by several, each of which gets its parents; others by one
+    counts = ranged.groupBy("rng").agg(F.count("*").alias("c"))
+    each = max(1, (counts.agg(F.sum("c")).first()[0] or 0) // (2 * n))
+    salts = materialise(counts.select("rng", F.least(F.lit(n), F.floor(F.col("c") / each) + 1).cast("int").alias("salts")))
+    left = ranged.join(F.broadcast(salts), "rng").select("rng", F.pmod(F.xxhash64("tabla", "clave"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "tabla", "clave", "periodo", "key", "day", F.lit(None).cast("array<long>").alias("codes"), F.lit(None).cast("array<long>").alias("until"))
+    right = arrays.join(F.broadcast(salts), "rng").select("rng", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("tabla", "string"), ("clave", "string"), ("periodo", "string"), ("key", "long"), ("day", "long"))], "codes", "until")
     placed = left.unionByName(right).repartition(n, "rng", "salt").sortWithinPartitions("rng", "salt", "kind")
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

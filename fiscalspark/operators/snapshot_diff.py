@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscalspark.session import salted_join
+from fiscalspark.session import materialise, salted_join
 
 
 def deliveries(rows: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def snapshot_changes(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     Every row is tagged as the new side of its own comparison and the old side of the next, and one aggregation by
     (grp, num, keys) classifies; its keys are as fine as the records, so no group or snapshot is hot.
     """
-    d = deliveries(rows)
+    d = materialise(deliveries(rows))
     own = salted_join(rows, d, ["grp", "num", "delivered"])
     sides = F.array(
         F.when(~F.col("first"), F.struct(F.col("num").alias("num"), F.lit(1).alias("new"))),

@@ -43,12 +43,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir where the cluster names one, else an own folder (tests)."""
+    """The folder for checkpoints: spark.checkpoint.dir where the cluster names one; an own folder only for a local session,
+    whose machine is the whole cluster (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="fiscalspark-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
@@ -85,16 +88,37 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", broadcast_rows: int = 100_000) -> DataFrame:
+def fits(df: DataFrame, rows: int = 100_000, size: int = 64 << 20) -> bool:
+    """Whether df has at most so many rows and bytes (as text), so that every task can hold it; reads no more than rows + 1 rows."""
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
+def hot_keys(df: DataFrame, on: list[str], parts: int) -> DataFrame | None:
+    """Keys of df that hold more rows than one of ``parts`` tasks should have, None if there are none; at most 2 * parts of them. Keys
+    are counted before the shuffle."""
+    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = df.count()
+    found = counts.where(F.col("_n") > max(total // (2 * parts), 10_000)).drop("_n").collect()
+    return df.sparkSession.createDataFrame(found, df.select(*on).schema) if found else None
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", broadcast_rows: int = 100_000, split: bool = True) -> DataFrame:
     """Equi-join that stays balanced when one key of ``big`` holds a large part of its rows.
 
-    ``small`` is broadcast only if a count shows that it has at most ``broadcast_rows`` rows. Otherwise ``big``
-    gets a random-free salt (hash of the whole row) and ``small`` one copy per salt, so that a hot key is spread
-    over many tasks. ``how`` is inner, left or left_semi/left_anti seen from ``big``. Null keys match nothing.
+    ``small`` is broadcast only if a count shows that it has at most ``broadcast_rows`` rows and 64 MB. Otherwise the keys of ``big``
+    are counted, the rows of hot ones get a salt (hash of the whole row) and only their rows of ``small`` a copy per salt; all
+    other keys are joined as they are. Without ``split`` no key is counted: for a ``big`` whose keys are few rows each or
+    that costs too much to be read twice. ``how`` is inner, left or left_semi/left_anti seen from ``big``. Null keys match nothing.
     """
-    if at_most(small, broadcast_rows):
+    if fits(small, broadcast_rows):
         return big.join(F.broadcast(small), on, how)
     n = min(32, width(big.sparkSession))
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(n)])))
+    hot = hot_keys(big, on, n) if split and n > 1 else None
+    if hot is None:
+        return big.join(small, on, how)
+    marked = hot.withColumn("_hot", F.lit(True))
+    left = big.join(F.broadcast(marked), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.array(*[F.lit(i) for i in range(n)])).otherwise(F.array(F.lit(0)))
+    right = small.join(F.broadcast(marked), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
