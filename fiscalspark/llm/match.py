@@ -203,7 +203,8 @@ def candidates(readings: DataFrame, unit: DataFrame) -> DataFrame:
 
     left = materialise(readings.select("s", "known", F.explode(asked("s", "known")).alias("k")))
     names_ = unit.groupBy(F.col("s").alias("us")).agg(F.min("words").alias("uw"), F.collect_set("part").alias("parts"))
-    side = salted_join(names_.mapInPandas(read, "us string, uw array<string>, parts array<string>, k string"), left.select("k").distinct(), ["k"], "left_semi")
+    side = salted_join(spread_by(names_, "us").mapInPandas(read, "us string, uw array<string>, parts array<string>, k string"), left.select("k").distinct(), ["k"], "left_semi", split=False)
+    side = materialise(side)
     hits = salted_join(side, left, ["k"])
     hits = hits.where(F.abs(F.length("s") - F.length("us")) <= MOST).where(F.size(F.array_except("known", "uw")) == 0).where(near("s", "us"))
     hits = hits.select("s", "us", F.explode("parts").alias("part"))

@@ -26,7 +26,11 @@ _MARK = re.compile(r"(?:\s*(?:…|\.{3}|\[\s?(?:…|\.{3})\s?\]|\((?:…|\.{3}|s
 _STOP = re.compile(r"(?<=[^\s.])[.!?]+[»\")]*(?=\s*\Z|[ \t]*\n|\s+[^\sa-zà-öø-ÿ,;])")
 _JOINTS = re.compile(r"[,;:()«»\"¿¡!?]+(?=\s|\Z)|(?<=\s)[(«\"¿¡]+")
 _LETTERS = re.compile(r"[\W_]+")
-_DIGITS = str.maketrans("0123456789", "9999999999")
+_DIGITS = bytes.maketrans(b"0123456789", b"9999999999")
+#: Remnants that no writer leaves: pieces of markup or of a character.
+_BROKEN = re.compile(r"[<&\ufffdÃÂâ]")
+#: Characters of a text's end that are read at first; more are where no line or sentence begins in them.
+TAIL = 400
 _SHORT = re.compile(r"(?:s|a|c|u|sr|sra|dr|art|núm|num|ref|s\.a|s\.l|s\.l\.u|s\.a\.u|s\.c|coop|9{1,3}(?:\.9{3})*)\Z")
 
 
@@ -44,15 +48,29 @@ def plain(text: str) -> str:
 
 def tokens(text: str) -> list[str]:
     """Words in small letters with digits as 9, and ','; '.' where a sentence stops, '¶' at the end of a line."""
-    t = _STOP.sub("\x01", text).lower().translate(_DIGITS)
+    t = _STOP.sub("\x01", text).lower().encode("utf-8", "surrogatepass").translate(_DIGITS).decode("utf-8", "surrogatepass")
     t = _JOINTS.sub(" , ", t.replace(". ", " ").replace("\n", " ¶ ")).replace("\x01", " . ")
     return t.split()
 
 
+def last_tokens(text: str) -> list[str]:
+    """The tokens at the end of text, back to one before the line or sentence that is open there and three more at least: all
+    that the contexts of the last word are made of."""
+    size = TAIL
+    while True:
+        found = tokens(text[-size:])
+        end = len(found)
+        while end and found[end - 1] in ".¶,":
+            end -= 1
+        if size >= len(text) or any(x in ".¶" for x in found[5:end]):
+            return found
+        size *= 4
+
+
 class Ending:
     """What stands at the end of a text."""
 
-    __slots__ = ("doubtful", "marked", "remnant", "stopped", "tokens", "twin")
+    __slots__ = ("broken", "doubtful", "marked", "remnant", "stopped", "tokens", "twin")
 
     def __init__(self, text: str):
         t = plain(text).rstrip()
@@ -61,16 +79,18 @@ class Ending:
         bare = _MARK.sub("", t[-40:])
         self.marked = len(bare) < len(t[-40:])
         t = (t[:-40] + bare).rstrip()
-        self.remnant = False
+        self.remnant = self.broken = False
         for _ in range(3):
             m = _REMNANT.search(t)
             if not m or m.start() == 0:
                 break
             left = t[: m.start()].rstrip()
-            self.remnant = self.remnant or left[-1:] not in ".!?"
+            if left[-1:] not in ".!?":
+                self.remnant = True
+                self.broken = self.broken or bool(_BROKEN.match(m.group()))
             t = left
         self.twin = xxhash.xxh64_intdigest(_LETTERS.sub("", unicodedata.normalize("NFD", t.lower())))
-        found = tokens(t)
+        found = last_tokens(t)
         while found and found[-1] in "¶,":
             found.pop()
         self.stopped = bool(found) and found[-1] == "."
@@ -132,16 +152,20 @@ class Contexts:
             out = (out ^ (out >> np.uint64(29))) * cls.P + x
         return out ^ (out >> np.uint64(32))
 
-    def counted(self) -> tuple[np.ndarray, ...]:
-        """key, and how often it goes on, comes to a full stop, ends the line; ends of texts are left out."""
-        key = np.concatenate([self.k4, self.k3, self.kw, self.k1, self.hy, self.hx, self.hd, self.h3, self.h2, self.w]).view(np.int64)
+    def counted(self, sieve: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """key, and how often it goes on, comes to a full stop, ends the line; ends of texts are left out, and so are keys that the
+        sieve (see sieve_of) tells to be wanted by none."""
+        key = np.concatenate([self.k4, self.k3, self.kw, self.k1, self.hy, self.hx, self.hd, self.h3, self.h2, self.w])
         how = np.concatenate([self.how] * 7 + [self.seg_how] * 3)
-        key, how = key[how < 3], how[how < 3]
+        kept = how < 3
+        if sieve is not None:
+            kept &= sieve[(key & np.uint64(len(sieve) - 1)).astype(np.int64)]
+        key, how = key[kept].view(np.int64), how[kept]
         found, inv = np.unique(key, return_inverse=True)
         return found, *(np.bincount(inv[how == g], minlength=len(found)) for g in (0, 1, 2))
 
 
-ENDING = "doc_id long, source string, chars int, bytes int, twin long, stopped boolean, doubtful boolean, marked boolean, remnant boolean, k4 long, k3 long, kw long, k1 long, hy long, hx long, hd long, h3 long, h2 long, w long"
+ENDING = "doc_id long, source string, chars int, bytes int, twin long, stopped boolean, doubtful boolean, marked boolean, remnant boolean, broken boolean, k4 long, k3 long, kw long, k1 long, hy long, hx long, hd long, h3 long, h2 long, w long"
 
 
 def endings(docs: DataFrame) -> DataFrame:
@@ -159,7 +183,7 @@ def endings(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(c.how == 3)
             seg = c.seg[at]
             out["twin"] = np.array([e.twin for e in ends], np.uint64).view(np.int64)
-            for k in ("stopped", "doubtful", "marked", "remnant"):
+            for k in ("stopped", "doubtful", "marked", "remnant", "broken"):
                 out[k] = np.array([getattr(e, k) for e in ends], bool)
             for k in ("k4", "k3", "kw", "k1", "hy", "hx", "hd"):
                 out[k] = getattr(c, k)[at].view(np.int64)
@@ -171,18 +195,38 @@ def endings(docs: DataFrame) -> DataFrame:
     return spread(rows).mapInPandas(read, ENDING)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def sieve_of(wanted: DataFrame, bits: int = 1 << 24) -> np.ndarray:
+    """A table of ``bits`` places in which the places of all wanted keys are marked: what is not marked is not wanted. Its size does not
+    depend on the number of keys; each task fills its own and they are put together in few tasks."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits, bool)
+        for b in batches:
+            table[b.column(0).to_numpy() & (bits - 1)] = True
+        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(table).tobytes()]}, pa.schema([("bits", pa.binary())]))
+
+    parts = wanted.select("key").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator()
+    table = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        table |= np.frombuffer(bytes(r.bits), np.uint8)
+    return table
+
+
+def occurrences(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """key, goes_on, stop, line: how often each context inside the texts goes on in its sentence, comes to the full stop or to
-    the end of a line. What stands at a text's end is not counted. Counted by batch here; the same key comes again."""
-    ship(docs.sparkSession)
+    the end of a line. What stands at a text's end is not counted. Counted by batch here; the same key comes again. With wanted
+    (key) only contexts that may be among them are given."""
+    spark = ship(docs.sparkSession)
+    sent = None if wanted is None else spark.sparkContext.broadcast(sieve_of(wanted))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
+        sieve = None if sent is None else np.unpackbits(sent.value).astype(bool)
         for b in batches:
             texts = b.column(0).to_pylist()
             for k in range(0, len(texts), 2000):
                 c = Contexts([tokens(plain(t)) for t in texts[k : k + 2000]], cache)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c.counted()], names=["key", "goes_on", "stop", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c.counted(sieve)], names=["key", "goes_on", "stop", "line"])
 
     rows = docs.select("text").where("text IS NOT NULL AND length(trim(text)) > 0")
     return spread(rows).mapInArrow(read, "key long, goes_on long, stop long, line long")
@@ -221,7 +265,6 @@ def length_limits(ends: DataFrame, reach: int = 20, fdr: float = 0.01) -> DataFr
         counts.withColumn("risk", F.sum("n").over(per) - upto("n", -1))
         .withColumn("nearby", F.sum("n").over(near) - F.col("n"))
         .withColumn("exposed", summed(F.col("len") + reach, reach) - summed(F.greatest(F.col("len") - reach - 1, F.lit(0)), -reach - 1) - F.col("risk"))
-        .withColumn("m", F.count("*").over(Window.partitionBy(F.lit(0))))
     )
     # without a text that reaches another length nearby there is nothing to test against
     expected = F.try_divide(F.col("risk") * (F.col("nearby") + 0.5), F.col("exposed"))
@@ -230,49 +273,95 @@ def length_limits(ends: DataFrame, reach: int = 20, fdr: float = 0.01) -> DataFr
     def tail(n: pd.Series, mean: pd.Series) -> pd.Series:
         return pd.Series([poisson_tail(int(a), float(b)) for a, b in zip(n, mean)])
 
+    hazards = materialise(hazards)
     tested = hazards.withColumn("expected", expected).where("n > 2 AND n > expected").withColumn("p", tail(F.col("n"), F.col("expected")))
-    ranked = tested.withColumn("r", F.row_number().over(Window.orderBy("p", "source", "unit", "len")))
-    return ranked.withColumn("q", F.min(F.col("p") * F.col("m") / F.col("r")).over(Window.orderBy(F.col("r").desc()))).where(F.col("q") <= fdr).select("source", "unit", "len", "n", "expected", "q")
+    return significant(tested, hazards.count(), fdr).select("source", "unit", "len", "n", "expected", "q")
+
+
+def significant(tested: DataFrame, m: int, fdr: float) -> DataFrame:
+    """tested (p) with q, the least false discovery rate over m tests at which the row is significant (Benjamini and Hochberg),
+    where that is at most fdr.
+
+    Rows are ordered by range partitions. A row's rank is its place in its partition and the rows of the partitions before; q is
+    the least p * m / rank from its place on, within the partition and over those behind. Only one row a partition is put together.
+    """
+    placed = materialise(tested.repartitionByRange("p", *tested.columns).withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("part").orderBy("p", *tested.columns)
+    ranked = placed.withColumn("own", F.row_number().over(own))
+    sizes = {r.part: r.c for r in placed.groupBy("part").agg(F.count("*").alias("c")).collect()}
+    before, offsets = 0, {}
+    for k in sorted(sizes):
+        offsets[k] = before
+        before += sizes[k]
+    if not offsets:
+        return tested.withColumn("q", F.lit(None).cast("double")).limit(0)
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("part"))
+    scored = materialise(ranked.withColumn("s", F.col("p") * m / (F.col("own") + offset)))
+    least = {r.part: r.s for r in scored.groupBy("part").agg(F.min("s").alias("s")).collect()}
+    behind, after = float("inf"), {}
+    for k in sorted(least, reverse=True):
+        after[k] = behind
+        behind = min(behind, least[k])
+    rest = F.element_at(F.create_map(*[F.lit(x) for kv in after.items() for x in kv]), F.col("part"))
+    q = F.least(F.min("s").over(own.rowsBetween(Window.currentRow, Window.unboundedFollowing)), rest)
+    return scored.withColumn("q", q).where(F.col("q") <= fdr).select(*tested.columns, "q")
 
 
 KEYS = Contexts.KINDS
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, source, limit and cut of every text that is not null or blank.
-
-    limit: the text has a length at which its source ends too many texts. cut: its end is no end. A text ends where its last
-    words, or the line or sentence that they close, end elsewhere in the corpus without full stop; it is cut if they go on
-    there, if its last word occurs nowhere else, or if a sentence like its last one always comes to a full stop. At a limit,
-    and behind a mark such as '…', less evidence is needed than elsewhere. Counts cover all texts; only contexts that
-    stand at the end of some doubtful text are kept, and texts that say the same count once as an end.
+    """doc_id, source, limit, limite, rotura and cut (either) of every text that is not null or blank.
+
+    limit: the text has a length at which its source ends too many texts (length_limits). limite: it has, and its ending is
+    incomplete; so many texts are there because of the limit that an ending is taken for incomplete unless the corpus shows that
+    it can be one. rotura: its end is none elsewhere; breaks of a transfer have no length, so the corpus must show that the
+    text goes on. A text ends where its last words, or the line or sentence that they close, end elsewhere in the corpus
+    without full stop; it goes on if they go on there, if its last word occurs nowhere else, or if a sentence like its last
+    one always comes to a full stop. Counts cover all texts; only contexts that stand at the end of some doubtful text are
+    kept, and texts that say the same count once as an end.
     """
     ends = materialise(endings(docs))
-    limits = length_limits(ends).select("source", "unit", "len").withColumn("hit", F.lit(True))
-    limits = materialise(limits)
-    per = {u: F.broadcast(limits.where(F.col("unit") == u).select("source", F.col("len").alias(u), F.col("hit").alias(f"at_{u}"))) for u in ("chars", "bytes")}
-    placed = ends.join(per["chars"], ["source", "chars"], "left").join(per["bytes"], ["source", "bytes"], "left").withColumn("limit", F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False)))
+    limits = materialise(length_limits(ends).select("source", "unit", "len").withColumn("hit", F.lit(True)))
+    placed = ends
+    for u in ("chars", "bytes"):
+        placed = salted_join(placed, limits.where(F.col("unit") == u).select("source", F.col("len").alias(u), F.col("hit").alias(f"at_{u}")), ["source", u], "left").withColumn(f"at_{u}", F.coalesce(f"at_{u}", F.lit(False)))
     open_ends = placed.where("NOT stopped OR doubtful")
     asked = open_ends.select("doc_id", "twin", "stopped", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KEYS])).alias("a")).select("doc_id", "twin", "stopped", "a.kind", "a.key")
-    wanted = asked.select("key").distinct()
-    inside = salted_join(occurrences(docs), wanted, ["key"], "left_semi", broadcast_rows=500_000).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("goes_on", "stop", "line")])
+    wanted = materialise(asked.select("key").distinct())
+    inside = salted_join(occurrences(docs, wanted), wanted, ["key"], "left_semi", broadcast_rows=500_000, split=False).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("goes_on", "stop", "line")])
     final = asked.where("NOT stopped").select("key", "twin").distinct().groupBy("key").agg(F.count("*").alias("last"))
     stats = materialise(inside.join(final, "key", "full").na.fill(0))
     told = salted_join(asked, stats, ["key"], "left").na.fill(0, ["goes_on", "stop", "line", "last"])
     cell = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{k}_{c}")
     wide = told.groupBy("doc_id").agg(*[cell(k, c) for k in KEYS for c in ("goes_on", "stop", "line", "last")])
-    seen = open_ends.join(wide, "doc_id")
-    verdict = seen.select("doc_id", verdict_of().alias("cut"))
-    return placed.join(verdict, "doc_id", "left").select("doc_id", "source", "limit", F.coalesce("cut", F.lit(False)).alias("cut"))
-
-
-def share(k: str) -> tuple[Column, Column]:
+    counted = [F.col(x) for k in ("k1", "k3", "k4") for x in (f"{k}_goes_on", f"{k}_stop", f"{k}_line", f"{k}_last")]
+    # written with each share worked out, so that the code of the verdict stays small
+    shares = [x.alias(f"{k}_{c}") for k in KEYS for c, x in zip(("n", "s"), share_of(k))]
+    seen = materialise(materialise(wide).select("doc_id", *shares, *counted).join(open_ends, "doc_id"))
+    # a length at which most texts are complete by their form is a length that titles happen to have
+    endless = materialise(placed.where("at_chars OR at_bytes").join(seen.select("doc_id", complete_form().alias("form")), "doc_id", "left").select("source", "chars", "bytes", "at_chars", "at_bytes", (~F.col("stopped") & ~F.coalesce("form", F.lit(False))).alias("open")))
+    for u in ("chars", "bytes"):
+        true = endless.where(f"at_{u}").groupBy("source", u).agg(F.count_if("open").alias("o"), F.count("*").alias("n")).where("o * 2 > n").select("source", u, F.lit(True).alias(f"true_{u}"))
+        placed = salted_join(placed, true, ["source", u], "left").withColumn(f"at_{u}", F.coalesce(f"true_{u}", F.lit(False)) & F.col(f"at_{u}")).drop(f"true_{u}")
+    placed = placed.withColumn("limit", F.col("at_chars") | F.col("at_bytes"))
+    told = seen.drop("source").join(placed.select("doc_id", "limit"), "doc_id").select("doc_id", incomplete().alias("cut"))
+    both = placed.join(told, "doc_id", "left").select("doc_id", "source", "limit", F.coalesce("cut", F.lit(False)).alias("cut"))
+    return both.select("doc_id", "source", "limit", (F.col("limit") & F.col("cut")).alias("limite"), (~F.col("limit") & F.col("cut")).alias("rotura"), "cut")
+
+
+def share_of(k: str) -> tuple[Column, Column]:
     """Occurrences of context k besides the text itself, and the share of them that end there without full stop."""
     on, stop, line, last = (F.col(f"{k}_{c}") for c in ("goes_on", "stop", "line", "last"))
     others = on + stop + line + F.greatest(last - 1, F.lit(0))
     return others, F.try_divide(line + F.greatest(last - 1, F.lit(0)), others)
 
 
+def share(k: str) -> tuple[Column, Column]:
+    """share_of k where it is worked out already."""
+    return F.col(f"{k}_n"), F.col(f"{k}_s")
+
+
 def first_known(kinds: tuple[str, ...], least: int) -> Column:
     """Share of the first of the contexts that occurs at least so often elsewhere; null if none does."""
     out = F.lit(None).cast("double")
@@ -282,23 +371,46 @@ def first_known(kinds: tuple[str, ...], least: int) -> Column:
     return out
 
 
-def verdict_of(least: int = 5) -> Column:
-    """Whether the text is cut, from how its contexts go on elsewhere.
+def complete_form(least: int = 5) -> Column:
+    """Whether the text's ending is surely one: its last line or sentence is one that elsewhere ends so, or begins like lines that end
+    without full stop and closes with words that close such lines."""
+    whole_n, whole = share("w")
+    head, within = first_known(("h3", "h2"), least), first_known(("hy", "hx", "hd"), 3)
+    return F.coalesce(((whole_n >= least) & (whole > 0.5) & ~repeated(whole_n)) | ((head > 0.8) & (within.isNull() | (within >= 0.3))), F.lit(False))
+
+
+def repeated(whole_n: Column) -> Column:
+    """Whether the last line begins like many more lines that go on: then texts were cut at the same place of it."""
+    n3, s3 = share("h3")
+    return F.coalesce((n3 >= 5 * whole_n) & (s3 < 0.1), F.lit(False))
+
+
+def incomplete(least: int = 5) -> Column:
+    """Whether the text's ending is incomplete, from how its contexts go on elsewhere.
 
     h3, h2, w: how lines and sentences that begin so (or are the same) end; hy, hx, hd: how such a line goes on after its
-    last three, two or one words; k4, k3, kw, k1: how any line goes on after the last words.
+    last three, two or one words; k4, k3, kw, k1: how any line goes on after the last words. At a limit, and behind a mark such as
+    '…', less evidence is needed. Lines of a form that ends without full stop (titles, lists) are judged by their last two words:
+    one word alone stands at several places of a list, and a rare one may never have closed one yet.
     """
     loose = F.col("limit") | F.col("marked") | F.col("remnant")
-    head, tail, within = first_known(("w", "h3", "h2"), least), first_known(("k4", "k3", "kw"), least), first_known(("hy", "hx", "hd"), 3)
-    unknown = (F.col("k1_goes_on") + F.col("k1_stop") + F.col("k1_line") == 0) & (F.col("k1_last") <= 2)
     whole_n, whole = share("w")
+    cut_there = repeated(whole_n)
+    head, tail = F.when(cut_there, first_known(("h3", "h2"), least)).otherwise(first_known(("w", "h3", "h2"), least)), first_known(("k4", "k3", "kw"), least)
+    form = F.coalesce(head > 0.8, F.lit(False))
+    hd_n, hd = share("hd")
+    within = F.coalesce(first_known(("hy", "hx"), 3), F.when(hd_n >= F.when(form, 10).otherwise(3), hd))
+    unseen = F.col("k1_goes_on") + F.col("k1_stop") + F.col("k1_line") == 0
     no_stop = (
-        F.when((whole_n >= least) & (whole > 0.5), False)
+        F.when((whole_n >= least) & (whole > 0.5) & ~cut_there, False)
+        .when(F.col("broken"), True)
         .when(head < F.when(loose, 0.5).otherwise(0.3), True)
-        .when(unknown & (tail.isNull() | (tail < 0.9)), True)
+        .when(unseen & (F.col("k1_last") <= 2) & (tail.isNull() | (tail < 0.9)), True)
+        .when(unseen & head.isNull() & tail.isNull(), True)
+        .when(form & within.isNotNull(), within < F.when(loose, 0.3).otherwise(0.05))
         .when(head.isNotNull() & within.isNotNull(), within < F.when(loose, 0.3).otherwise(0.15))
-        .when((head > 0.8) & (share("h2")[0] >= 100) & (share("hd")[0] == 0), True)
-        .when(head > 0.8, False)
+        .when(form & (share("h2")[0] >= 100) & (hd_n == 0) & (unseen | loose), True)
+        .when(form, False)
         .when(tail < F.when(loose, 0.5).otherwise(0.2), True)
         .when(tail.isNull() & head.isNull(), loose)
         .otherwise(False)
@@ -314,5 +426,6 @@ def truncated(docs: DataFrame) -> DataFrame:
 
 
 def truncation_rates(docs: DataFrame) -> DataFrame:
-    """source with its texts, those cut, those of them at a limit of the source, and the rate."""
-    return judged(docs).groupBy("source").agg(F.count("*").alias("n"), F.count_if("cut").alias("cut"), F.count_if(F.col("cut") & F.col("limit")).alias("at_limit")).withColumn("rate", F.col("cut") / F.col("n"))
+    """source with its texts, those cut, those of them at a limit of the source and those broken off elsewhere, and the rate."""
+    n = judged(docs).groupBy("source").agg(F.count("*").alias("n"), F.count_if("cut").alias("cut"), F.count_if("limite").alias("at_limit"), F.count_if("rotura").alias("broken"))
+    return n.withColumn("rate", F.col("cut") / F.col("n"))
