@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fiscalspark.functions import text
-from fiscalspark.operators.latest import latest_block
-from fiscalspark.session import ship
+from fiscalspark.operators.latest import latest_block, latest_by
+from fiscalspark.session import materialise, ship
 from fiscalspark.sources.igae import read_cells
 
 #: Largest member of a ZIP file that is read.
@@ -27,6 +27,10 @@ CONTRACT = (
 )
 
 
+#: Namespaces of the feed and of the contract notices.
+ATOM, CODICE, CODICE2 = "http://www.w3.org/2005/Atom", r"CommonBasicComponents-\d", "urn:dgpe:names:draft:codice:schema:xsd:CommonBasicComponents-2"
+
+
 def local(e: ET.Element) -> str:
     return e.tag.rsplit("}", 1)[-1]
 
@@ -90,8 +94,11 @@ def contract_rows(entry: ET.Element) -> list[dict]:
 def feed_rows(content: bytes) -> list[dict]:
     """Rows of an Atom feed in document order; a tombstone gives one row in state BAJA."""
     root = ET.fromstring(content)
-    if local(root) != "feed":
-        raise ValueError("no Atom feed")
+    if root.tag != f"{{{ATOM}}}feed":
+        raise ValueError(f"no Atom feed: {root.tag}")
+    spaces = {e.tag[1:].split("}")[0] for e in root.iter() if e.tag.startswith("{")}
+    if any(re.search(CODICE, x) for x in spaces) and CODICE2 not in spaces:
+        raise ValueError(f"no contract notices of the second version: {', '.join(sorted(spaces))}")
     out: list[dict] = []
     for e in root:
         if local(e) == "entry":
@@ -169,6 +176,8 @@ def read_grants(spark: SparkSession, path: str, captured: str) -> DataFrame:
 
 #: Gazette sections, and words of titles, that matter.
 GAZETTE_SECTIONS = ("1", "3", "5B")
+#: Fixed value: number of the grants' call that a provision names.
+GRANT_CALL = r"(?i)BDNS\s*\(\s*Identif\.?\s*\)\s*:?\s*(\d+)"
 GAZETTE_TITLES = r"(?i)subvenci|ayuda|cr[eé]dito|convoca"
 
 
@@ -205,12 +214,15 @@ def read_gazette(spark: SparkSession, summaries: str, provisions: str, captured:
     s = load(summaries).mapInPandas(items, "dia string, seccion_boe string, departamento string, identificador string, titulo string")
     s = s.where(F.col("seccion_boe").isin(*GAZETTE_SECTIONS) & F.col("titulo").rlike(GAZETTE_TITLES) & F.col("identificador").isNotNull())
     p = load(provisions).mapInPandas(bodies, "identificador string, tipo string, texto string")
-    j = s.join(p, "identificador", "left").dropDuplicates(["identificador"])
+    # an item that several summaries name counts by the latest day, a provision that comes twice by its longest text (W-06)
+    s = latest_by(s, ["identificador"], ["dia", "titulo"])
+    p = latest_by(p.where("identificador IS NOT NULL").withColumn("largo", F.length("texto")), ["identificador"], ["largo", "texto"]).drop("largo")
+    j = s.join(p, "identificador", "left")
     a = text.amount("texto")
     date = F.coalesce(F.try_to_date("dia", "yyyyMMdd"), day("dia"))
     return j.select(
         "identificador", date.alias("fecha"), F.date_format(F.coalesce(date, F.lit(captured).cast("date")), "yyyy-MM").alias("periodo"), "seccion_boe", "departamento", "titulo", text.gazette_class("titulo", F.col("tipo")).alias("tipo_disposicion"),
-        F.nullif(F.regexp_extract("texto", r"(?i)BDNS\s*\(\s*Identif\.?\s*\)\s*:?\s*(\d+)", 1), F.lit("")).alias("bdns_id"), a["importe"].alias("importe"), a["confianza"].alias("importe_confianza"), F.col("texto").alias("texto_bruto"), F.lit(captured).cast("date").alias("fecha_captura"),
+        F.nullif(F.regexp_extract("texto", GRANT_CALL, 1), F.lit("")).alias("bdns_id"), a["importe"].alias("importe"), a["confianza"].alias("importe_confianza"), F.col("texto").alias("texto_bruto"), F.lit(captured).cast("date").alias("fecha_captura"),
     )
 
 
@@ -218,28 +230,39 @@ def read_gazette(spark: SparkSession, summaries: str, provisions: str, captured:
 OPENS, CLOSES, PERSONNEL = r"^sumario", r"^ampliacion de contenido|^biografia|mas informacion", r"^acuerdos de personal|^condecoraciones|^personal$|nombramiento"
 
 
-def read_cabinet(spark: SparkSession, path: str, captured: str) -> DataFrame:
+def read_cabinet_capture(spark: SparkSession, path: str, captured: str) -> DataFrame:
+    """S-22, S-23: agreements of a capture's references, innermost items only; an error if no page has any. A page that has none is passed over."""
+    rows = materialise(read_cabinet(spark, path, captured, leaves=True))
+    if rows.isEmpty():
+        raise ValueError(f"no cabinet reference can be read under {path}")
+    return rows
+
+
+def read_cabinet(spark: SparkSession, path: str, captured: str, leaves: bool = False) -> DataFrame:
     """S-22, S-23, W-10: agreements of the cabinet references under path, one per list item of the summary, in document order.
 
     Headings and items become rows with their place; the ministry is the last heading before an item (last non-null over the
-    rows up to it), the summary's bounds are running maxima. A page without summary gives no rows. The day is read from the file name.
+    rows up to it), the summary's bounds are running maxima. With leaves an item that holds a list is no
+    agreement, only its items are. A page without summary gives no rows. The day is read from the file name or its folder's.
     """
     ship(spark)
     pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
-    tags = F.regexp_extract_all("v", F.lit(r"(?is)(<(?:h2|h3|li)\b[^>]*>(?:(?!<(?:h2|h3|li|ul|ol)\b|</(?:h2|h3|li)>).)*)"), 1)
+    # a list within an item is kept as a mark at its end
+    tags = F.regexp_extract_all("v", F.lit(r"(?is)(<(?:h2|h3|li)\b[^>]*>(?:(?!<(?:h2|h3|li|ul|ol)\b|</(?:h2|h3|li)>).)*(?:<(?=[uo]l\b))?)"), 1)
     rows = pages.select("path", F.posexplode(tags).alias("pos", "x")).withColumn("tag", F.lower(F.regexp_extract("x", r"^<(\w+)", 1)))
 
     @F.pandas_udf("string")
     def visible(s: pd.Series) -> pd.Series:
         return s.map(lambda x: re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", x))).strip())
 
+    rows = rows.where(~((F.col("tag") == "li") & F.col("x").endswith("<"))) if leaves else rows.withColumn("x", F.regexp_replace("x", "<$", ""))
     t = rows.withColumn("t", visible("x")).where("t <> ''").withColumn("n", text.normal("t"))
     w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     heading = F.col("tag").isin("h2", "h3")
     inside = t.withColumn("open", F.max(F.when(heading & F.col("n").rlike(OPENS), 1).otherwise(0)).over(w))
     inside = inside.withColumn("closed", F.max(F.when((F.col("open") == 1) & heading & F.col("n").rlike(CLOSES), 1).otherwise(0)).over(w)).where("open = 1 AND closed = 0")
     carried = inside.withColumn("head", F.last(F.when(F.col("tag") == "h3", F.col("t")), ignorenulls=True).over(w)).withColumn("personnel", F.coalesce(F.last(F.when(heading, F.col("n").rlike(PERSONNEL)), ignorenulls=True).over(w), F.lit(False)))
-    date = F.coalesce(F.to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1)), F.lit(captured).cast("date"))
+    date = F.coalesce(F.try_to_date(F.regexp_extract("path", r"(\d{4}-\d{2}-\d{2})[^/]*$", 1)), F.try_to_date(F.regexp_extract("path", r"/(\d{8})/[^/]*$", 1), "yyyyMMdd"), F.lit(captured).cast("date"))
     items = carried.where("tag = 'li'").withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1).withColumn("fecha", date)
     a = text.amount("t")
     return items.select(F.concat(F.date_format("fecha", "yyyy-MM-dd"), F.lit("#"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("acuerdo_id"), "fecha", F.date_format("fecha", "yyyy-MM").alias("periodo"), F.when(~F.col("personnel"), F.col("head")).alias("ministerio"), F.col("t").alias("descripcion"), text.cabinet_class("t", F.col("personnel")).alias("tipo_acuerdo"), a["importe"].alias("importe"), a["confianza"].alias("importe_confianza"), F.lit(captured).cast("date").alias("fecha_captura"))

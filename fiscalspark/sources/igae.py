@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fiscalspark.session import ship
+from fiscalspark.files import Files
+from fiscalspark.session import materialise, ship
 
 #: First bytes of the two workbook formats.
 MAGIC = {"504B0304": "ooxml", "D0CF11E0A1B11AE1": "biff"}
@@ -76,6 +77,56 @@ def read_cells(spark: SparkSession, path: str, wanted: str = r"^S\d{2}$", width:
     return files.mapInPandas(read, schema)
 
 
+def read_converted(spark: SparkSession, path: str) -> DataFrame:
+    """S-04: cells of workbooks of the old binary format that were converted to CSV with header sheet, pos, c0 to c4, empty cells null."""
+    rows = spark.read.csv(path, header=True, schema="sheet string, pos int, c0 string, c1 string, c2 string, c3 string, c4 string", mode="FAILFAST")
+    return rows.select(F.col("_metadata.file_path").alias("path"), "*").where(F.col("sheet").rlike(r"^S\d{2}$"))
+
+
+class BadMonth(ValueError):
+    """A month's workbook is not there, not of the known shape, or does not add up."""
+
+
+def month_file(spark: SparkSession, raw: str, period: str) -> str:
+    """S-09: the one file of a period, 'ANEXO I' in its name, as workbook or converted CSV."""
+    folder = f"{raw}/igae_mensual/{period}"
+    found = [n for n in Files(spark).names(folder, folders=False) if re.search(r"ANEXO I(?!I).*\.(xlsx?|csv)$", n, re.I)]
+    if len(found) != 1:
+        raise BadMonth(f"{folder}: {len(found)} files of ANEXO I, one is needed")
+    return f"{folder}/{found[0]}"
+
+
+def check_sheets(spark: SparkSession, path: str) -> list[str]:
+    """S-02: names of the sheets; the summary S5 and at least one sheet of a section must be there."""
+    content = spark.read.format("binaryFile").load(path).select("content").first().content
+    sheets = sorted({s for s, _, _ in sheet_cells(bytes(content), 1)} | set(sheet_names(bytes(content))))
+    if "S5" not in sheets or not any(re.match(r"^S\d\d$", s) for s in sheets):
+        raise BadMonth(f"{path}: sheets {', '.join(sheets)}; S5 and SNN are needed")
+    return sheets
+
+
+def sheet_names(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [e.get("name") for e in ET.fromstring(z.read("xl/workbook.xml")).iter() if e.tag.endswith("}sheet")]
+
+
+def read_month(spark: SparkSession, raw: str, period: str, captured: str) -> DataFrame:
+    """S-02 to S-09: the canonical rows of a period, from its one file; an error where its sheets are others, a printed subtotal differs
+    from its rows, or rows stand behind the last subtotal."""
+    path = month_file(spark, raw, period)
+    if path.lower().endswith(".csv"):
+        cells = read_converted(spark, path)
+    else:
+        cells = read_cells(spark, path)
+        check_sheets(spark, path)
+    cells = materialise(cells)
+    bad = [f"{r.sheet} block {r.block}: {r.diferencia:.2f}" for r in unbalanced(cells).limit(20).collect()]
+    bad += [f"{r.sheet}: {r.n} rows behind the last subtotal" for r in unclosed(cells).limit(20).collect()]
+    if bad:
+        raise BadMonth(f"{path}: " + "; ".join(bad[:3]) + (f" and {len(bad) - 3} more" if len(bad) > 3 else ""))
+    return parse(cells, period, captured)
+
+
 def row_kind(cell: Column) -> Column:
     """S-05: what a row is, by its application cell."""
     t = F.coalesce(F.trim(cell), F.lit(""))
@@ -124,3 +175,10 @@ def unbalanced(cells: DataFrame) -> DataFrame:
     per = rows.groupBy("path", "sheet", "block").agg(F.max(F.when(F.col("kind") == "SUBTOTAL", 1)).alias("cerrado"), *sums)
     off = F.greatest(*[F.abs(F.col(f"{c}_filas") - F.col(f"{c}_total")) for c in ("c2", "c3", "c4")])
     return per.where("cerrado = 1").withColumn("diferencia", off).where(F.col("diferencia") > TOLERANCE)
+
+
+def unclosed(cells: DataFrame) -> DataFrame:
+    """S-08: sheets with application rows that no subtotal follows, and their number."""
+    rows = cells.withColumn("kind", row_kind(F.col("c1"))).where("kind IN ('APLICACION', 'SUBTOTAL')")
+    last = rows.groupBy("path", "sheet").agg(F.coalesce(F.max(F.when(F.col("kind") == "SUBTOTAL", F.col("pos"))), F.lit(-1)).alias("last"))
+    return rows.join(last, ["path", "sheet"]).where("kind = 'APLICACION' AND pos > last").groupBy("path", "sheet").agg(F.count("*").alias("n"))
