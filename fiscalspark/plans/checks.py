@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fiscalspark.operators.measures import money
 from fiscalspark.plans import metrics, model, views
-from fiscalspark.session import materialise
+from fiscalspark.session import materialise, salted_join
 
 #: Tolerances in euros at service, section and grand total.
 TOLERANCE = {"servicio": 0.5, "seccion": 5.0, "age": 50.0}
@@ -106,16 +106,20 @@ def pools(spark: SparkSession, d: str, only: list[str] | None = None) -> DataFra
     and whether the dimension knows and names the service."""
     e = model.execution(spark, d)
     if only is not None:
-        years = sorted({p[:4] for p in only})
-        e = e.where(F.substring("periodo", 1, 4).isin(*years))
+        e = e.where(F.substring("periodo", 1, 4).isin(*sorted({p[:4] for p in only})))
+    return pools_of(e, model.services(spark, d))
+
+
+def pools_of(e: DataFrame, services: DataFrame) -> DataFrame:
+    """pools of any frames of execution and services."""
     full = covers("modificaciones") & F.col("credito_inicial").isNotNull() & F.col("credito_definitivo").isNotNull() & F.col("modificaciones").isNotNull()
     g = e.groupBy("periodo", "ejercicio", *LABEL).agg(
         F.count("*").alias("n"), *[money(c).alias(c) for c in ("credito_inicial", "credito_definitivo", "orn")], money(F.when(full, F.col("credito_definitivo") - F.col("credito_inicial") - F.col("modificaciones"))).alias("resto"),
         money(F.when(covers("pagos"), F.col("pagos"))).alias("pagos"), money(F.when(covers("pagos"), F.col("orn"))).alias("orn_pagos"), F.count_if(F.col("credito_inicial") < 0).alias("neg_inicial"), F.count_if(F.col("orn") < 0).alias("neg_orn"),
         F.array_distinct(F.flatten(F.collect_set(F.split("cobertura", ",")))).alias("cubre"),
     )
-    s = model.services(spark, d).select("ejercicio", *LABEL, F.lit(True).alias("conocido"), F.col("servicio_denominacion").isNotNull().alias("nombrado"))
-    return materialise(g.join(F.broadcast(s), ["ejercicio", *LABEL], "left").na.fill(False, ["conocido", "nombrado"]))
+    s = services.groupBy("ejercicio", *LABEL).agg(F.lit(True).alias("conocido"), F.max(F.col("servicio_denominacion").isNotNull()).alias("nombrado"))
+    return materialise(salted_join(g, s, ["ejercicio", *LABEL], "left").na.fill(False, ["conocido", "nombrado"]))
 
 
 def violations_of(g: DataFrame) -> dict[tuple[str, str], DataFrame]:
@@ -150,22 +154,26 @@ def engine(only: list[str] | None = None):
     covers a magnitude that the rule needs, or there is no earlier month in the year. A negative row counts as a row (R7)."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        g = pools(spark, d, only)
-        p = g.groupBy("periodo", "ejercicio").agg(F.array_distinct(F.flatten(F.collect_set("cubre"))).alias("cubre")).withColumn("primero", F.row_number().over(Window.partitionBy("ejercicio").orderBy("periodo")) == 1)
-        found = violations_of(g)
-        counts = reduce(DataFrame.unionByName, [v.groupBy("periodo").agg((F.sum("filas") if "filas" in v.columns else F.count("*")).cast("long").alias("k")).select(F.lit(r).alias("regla"), F.lit(a).alias("ambito"), "periodo", "k") for (r, a), v in found.items()])
-        every = F.array(*[F.struct(F.lit(r).alias("regla"), F.lit(a).alias("ambito"), F.array(*[F.lit(x) for x in need]).cast("array<string>").alias("pide")) for r, a, need in RULES])
-        e = p.select("periodo", "cubre", "primero", F.explode(every).alias("r")).select("periodo", "cubre", "primero", "r.*").join(F.broadcast(counts), ["regla", "ambito", "periodo"], "left")
-        lacks = F.array_sort(F.array_except("pide", "cubre"))
-        first = (F.col("regla") == "R8") & F.col("primero")
-        state = F.when((F.size(lacks) > 0) | first, "SKIPPED").when(F.col("k") > 0, "FAIL").otherwise("PASS")
-        why = F.when(F.size(lacks) > 0, F.concat(F.lit("sin "), F.array_join(lacks, ", "))).when(first, "primer periodo del ejercicio")
-        out = e.select("regla", "ambito", "periodo", state.alias("estado"), F.when(state == "FAIL", F.col("k")).otherwise(0).cast("long").alias("descuadres"), why.alias("motivo"))
-        return out if only is None else out.where(F.col("periodo").isin(*only))
+        return judged(pools(spark, d, only), only)
 
     return query
 
 
+def judged(g: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """The engine over pools."""
+    p = g.groupBy("periodo", "ejercicio").agg(F.array_distinct(F.flatten(F.collect_set("cubre"))).alias("cubre")).withColumn("primero", F.row_number().over(Window.partitionBy("ejercicio").orderBy("periodo")) == 1)
+    found = violations_of(g)
+    counts = reduce(DataFrame.unionByName, [v.groupBy("periodo").agg((F.sum("filas") if "filas" in v.columns else F.count("*")).cast("long").alias("k")).select(F.lit(r).alias("regla"), F.lit(a).alias("ambito"), "periodo", "k") for (r, a), v in found.items()])
+    every = F.array(*[F.struct(F.lit(r).alias("regla"), F.lit(a).alias("ambito"), F.array(*[F.lit(x) for x in need]).cast("array<string>").alias("pide")) for r, a, need in RULES])
+    e = p.select("periodo", "cubre", "primero", F.explode(every).alias("r")).select("periodo", "cubre", "primero", "r.*").join(F.broadcast(counts), ["regla", "ambito", "periodo"], "left")
+    lacks = F.array_sort(F.array_except("pide", "cubre"))
+    first = (F.col("regla") == "R8") & F.col("primero")
+    state = F.when((F.size(lacks) > 0) | first, "SKIPPED").when(F.col("k") > 0, "FAIL").otherwise("PASS")
+    why = F.when(F.size(lacks) > 0, F.concat(F.lit("sin "), F.array_join(lacks, ", "))).when(first, "primer periodo del ejercicio")
+    out = e.select("regla", "ambito", "periodo", state.alias("estado"), F.when(state == "FAIL", F.col("k")).otherwise(0).cast("long").alias("descuadres"), why.alias("motivo"))
+    return out if only is None else out.where(F.col("periodo").isin(*only))
+
+
 def run_checks(spark: SparkSession, d: str, only: list[str] | None = None) -> DataFrame:
     """The engine over the periods named, or all. A period that is not loaded is an error (U-04)."""
     if only is not None:

@@ -25,10 +25,15 @@ def smallest_target(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchored(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """E-01: rows (id, code, day, year) with their anchor: section, service, unit, kind and signal."""
-    versions = model.units(spark, d).select(F.col("dir3_cod").alias("code"), F.col("dir3_padre_cod").alias("parent"), F.col("tipo_entidad").alias("kind"), F.col("fecha_inicio").alias("ini"), F.col("fecha_fin").alias("fin"))
+    """E-01 over the delivered units and crosswalk, see anchored_by."""
+    return anchored_by(rows, model.units(spark, d), targets(spark, d))
+
+
+def anchored_by(rows: DataFrame, units: DataFrame, targets: DataFrame) -> DataFrame:
+    """E-01: rows (id, code, day, year) with their anchor: section, service, unit, kind and signal. targets: code, year, target."""
+    versions = units.select(F.col("dir3_cod").alias("code"), F.col("dir3_padre_cod").alias("parent"), F.col("tipo_entidad").alias("kind"), F.col("fecha_inicio").alias("ini"), F.col("fecha_fin").alias("fin"))
     good = rows.where(F.col("code").rlike(UNIT))
-    done = ascend(good, nodes(versions, targets(spark, d)), own="MN")
+    done = ascend(good, nodes(versions, targets), own="MN")
     done = done.select(*[F.col(c).alias(f"_{c}") for c in ("code", "day", "year")], "end", "at", "known", "covered", "target")
     match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("code", "day", "year")]
     j = rows.join(done, match, "left")

@@ -181,10 +181,11 @@ GRANT_CALL = r"(?i)BDNS\s*\(\s*Identif\.?\s*\)\s*:?\s*(\d+)"
 GAZETTE_TITLES = r"(?i)subvenci|ayuda|cr[eé]dito|convoca"
 
 
-def read_gazette(spark: SparkSession, summaries: str, provisions: str, captured: str) -> DataFrame:
+def read_gazette(spark: SparkSession, summaries: str | tuple[str, str], provisions: str | tuple[str, str], captured: str) -> DataFrame:
     """S-19 to S-21: provisions of the daily summaries, with text, class and amount where the provision's file is there.
 
-    Items stand under a department or a heading of it. A summary row without file is kept with null text.
+    summaries, provisions: a path, or a folder and a pattern of the names in and below it. Items stand under a department or a
+    heading of it. A summary row without file is kept with null text.
     """
     ship(spark)
 
@@ -210,7 +211,10 @@ def read_gazette(spark: SparkSession, summaries: str, provisions: str, captured:
                 out.append((said(deep(root, "identificador")), kind.get("codigo") if kind is not None else None, t or None))
             yield pd.DataFrame(out, columns=["identificador", "tipo", "texto"])
 
-    load = lambda p: spark.read.format("binaryFile").load(p).select("content")
+    def load(p: str | tuple[str, str]) -> DataFrame:
+        folder, names = p if isinstance(p, tuple) else (p, "*")
+        return spark.read.format("binaryFile").option("recursiveFileLookup", isinstance(p, tuple)).option("pathGlobFilter", names).load(folder).select("content")
+
     s = load(summaries).mapInPandas(items, "dia string, seccion_boe string, departamento string, identificador string, titulo string")
     s = s.where(F.col("seccion_boe").isin(*GAZETTE_SECTIONS) & F.col("titulo").rlike(GAZETTE_TITLES) & F.col("identificador").isNotNull())
     p = load(provisions).mapInPandas(bodies, "identificador string, tipo string, texto string")

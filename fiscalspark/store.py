@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,17 +70,19 @@ class Warehouse:
         """
         number = self._number() + 1
         now = self.versions()
+        # two loads that run at once write folders of different names, so the one that loses touches nothing of the other
+        folder = f"v={number}-{uuid.uuid4().hex[:12]}"
         new = dict(now)
         for name, df in staged.items():
             by = (parts or {}).get(name)
             if not by:
-                new[name] = [f"{name}/v={number}"]
+                new[name] = [f"{name}/{folder}"]
                 df.write.mode("overwrite").parquet(f"{self.root}/{new[name][0]}")
                 continue
             kept = {f.rsplit("/", 1)[0]: f for f in now.get(name, [])}
             for row in df.select(*by).distinct().collect():
                 label = f"{name}/" + ",".join(f"{c}={row[c]}" for c in by)
-                kept[label] = f"{label}/v={number}"
+                kept[label] = f"{label}/{folder}"
                 same = [F.col(c).eqNullSafe(F.lit(row[c])) for c in by]
                 one = df.where(same[0] if len(same) == 1 else same[0] & same[1])
                 one.write.mode("overwrite").parquet(f"{self.root}/{kept[label]}")
