@@ -155,3 +155,20 @@ def test_operations(spark, tmp_path):
     assert ops.stale(spark, {"crosswalk": str(tmp_path / "in")}, led) == ["crosswalk", "contratos", "subvenciones", "frescura"]
     ops.made(spark, "crosswalk", str(tmp_path / "in"), led)
     assert ops.stale(spark, {"crosswalk": str(tmp_path / "in")}, led) == []
+
+
+def test_build_commands(spark, tmp_path, capsys):
+    raw = raw_folder(tmp_path)
+    (tmp_path / "seeds").mkdir()
+    for name, rows in seeds(spark).items():
+        full = build.shaped(rows, name)
+        build.write_seed(full, str(tmp_path / "out"))
+        part = next((tmp_path / "out").glob("part*.csv"))
+        (tmp_path / "seeds" / f"{name}.csv").write_text(part.read_text())
+    args = [str(raw), str(tmp_path / "wh"), "--seeds", str(tmp_path / "seeds"), "--ledger", str(tmp_path / "l.json")]
+    assert cli.main(["build", *args]) == 0 and json.loads(capsys.readouterr().out)["2026-02"] == 2
+    assert cli.main(["update", *args]) == 0 and json.loads(capsys.readouterr().out) == {}
+    assert cli.main(["materialize", "ejecucion", str(raw), str(tmp_path / "wh"), "--partition", "2026-02", "--ledger", str(tmp_path / "l.json")]) == 0
+    assert cli.main(["materialize", "ejecucion", str(raw), str(tmp_path / "wh"), "--partition", "2027-02", "--ledger", str(tmp_path / "l.json")]) == 1
+    assert cli.main(["summary", str(tmp_path / "l.json"), "2026-02", "--source", "igae_mensual"]) == 0 and "Rows: 2" in capsys.readouterr().out
+    assert Ledger(str(tmp_path / "l.json"), spark).read()["igae_mensual"]["fallo"]["kind"] == "formato_cambiado"

@@ -68,3 +68,56 @@ def test_ascent_labels(spark):
     assert {k[0]: r.end for k, r in got.items() if k[1:] == (2026, False)} == {"DG": "destino", "J": "destino", "OAX": "propia", "EX": "fin", "MIN": "fin", "L1": "fin", "XX": "fin"}
     assert (got["J", 2026, False].at, tuple(got["J", 2026, False].target), got["J", 2026, True].end) == ("DG", ("20", "03"), "destino")
     assert (got["J", 2019, False].covered, got["J", 2019, False].known, got["XX", 2026, False].known) == (False, True, False)
+
+
+def test_status_and_windows(spark, tmp_path):
+    s = Service(spark, DATA)
+    assert s.call("root")[0] == 200 and s.call("nada")[0] == 404 and s.call("volume", flow="x")[0] == 404 and s.call("volume", flow="contratos", period="2025-13")[0] == 422 and s.call("degree")[0] == 422
+    assert Service(spark, str(tmp_path)).call("years")[0] == 503
+    n = {k: s.volume("contratos", level="age", **w)["data"][0]["n"] for k, w in {"all": {}, "year": {"year": 2025}, "month": {"period": "2025-10"}, "both": {"period": "2025-10", "year": 2024}}.items()}
+    assert n["all"] > n["year"] > n["month"] == n["both"]
+    out = s.volume("subvenciones", 2025, "seccion")
+    assert out["meta"]["cobertura_anclaje"]["servicio"]["n"] == sum(r["n"] for r in out["data"])
+    assert any("prórroga" in w for w in s.degree("2025-10")["meta"]["warnings"]) and s.decisions_and_commitment(2025)["data"] and s.decisions("cdm", "ministerio")["data"]
+    for call in (lambda: s.decisions("x"),):
+        with pytest.raises(NotFound):
+            call()
+
+
+def test_alerts_in_their_order(spark):
+    s = Service(spark, DATA)
+    got = s.alert_list("2025-10")["data"]
+    rank = [{"destacada": 0, "a_revisar": 1, "informativa": 2}[r["severidad"]] for r in got]
+    assert rank == sorted(rank) and got
+    some = s.alert_list("2025-10", severity=got[0]["severidad"], speed="compromisos_juridicos", section=got[0]["seccion_cod"])["data"]
+    assert some and all(r["seccion_cod"] == got[0]["seccion_cod"] and r["tipo"] in ("concentracion_adjudicatarios", "anticipacion_compromiso") for r in some)
+    for bad in ({"severity": "x"}, {"kind": "x"}, {"speed": "x"}):
+        with pytest.raises(BadRequest):
+            s.alert_list("2025-10", **bad)
+    doc = s.period_report("2025-10")["data"]
+    assert doc["resumen"]["alertas"] == len(doc["alertas"]) == len(got) and doc["resumen"]["skipped"] == len(doc["skipped"]) and doc["cobertura_global"]["pct_orn_vigilable"] is not None
+
+
+def test_evidence_is_a_map(spark):
+    from fiscalspark.plans import alerts
+
+    got = spark.createDataFrame([("v_ejecucion periodo=2025-10 seccion_cod=01",)], "e string").select(alerts.evidence_map("e").alias("m")).first().m
+    assert got == {"vista": "v_ejecucion", "periodo": "2025-10", "seccion_cod": "01"}
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    code = cli.main(["check", DATA, "--period", "2025-10", "--json"])
+    rows = json.loads(capsys.readouterr().out)
+    assert len(rows) == 13 and code == int(any(r["estado"] == "FAIL" for r in rows))
+    cli.main(["check", DATA, "--period", "2025-10"])
+    assert "Resumen:" in capsys.readouterr().out
+    assert cli.main(["check", DATA, "--period", "1999-01"]) == 1 and "1999-01" in capsys.readouterr().err
+    assert cli.main(["report", DATA, "2025-10"]) == 0 and json.loads(capsys.readouterr().out)["periodo"] == "2025-10"
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "f").write_text("x")
+    m = ["manifest", str(tmp_path / "c"), str(tmp_path / "m.json")]
+    assert cli.main(m) == 0 and cli.main([*m, "--verify"]) == 0
+    (tmp_path / "c" / "f").write_text("y")
+    assert cli.main([*m, "--verify"]) == 1 and cli.main(["diagnose", "bdns", str(tmp_path / "c" / "f")]) == 1
