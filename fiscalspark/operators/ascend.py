@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def ascend(requests: DataFrame, node: DataFrame, own: str, cut_every: int = 4) -
 
     A code with a target in the year has arrived, before anything else is asked. Else its version valid on the day is
     needed (latest start of several; without day the open one); a version of a kind other than null or ``own`` ends the climb as
-    'propia', a missing one or a root as 'fin'. Requests are taken once each, however many rows ask; lineage is cut on the way.
+    'propia', a missing one or a root as 'fin'. Requests are taken once each, however many rows ask; every ``cut_every`` hops lineage is cut and
+    only requests that are still on their way go on, none when all have arrived.
     """
     first = node.select(F.col("code"), F.col("versions").isNotNull().alias("known"))
     years = node.select(F.explode("targets").alias("t")).select(F.col("t.year").alias("year")).distinct().withColumn("covered", F.lit(True))
@@ -35,6 +38,7 @@ def ascend(requests: DataFrame, node: DataFrame, own: str, cut_every: int = 4) -
     kind = node.schema["targets"].dataType.elementType["target"].dataType
     state = state.select("code", "day", "year", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("covered", F.lit(False)).alias("covered"), F.col("code").alias("cur"), F.lit(None).cast("string").alias("end"), F.col("code").alias("at"), F.lit(None).cast(kind).alias("target"))
     side = node.select(F.col("code").alias("cur"), "versions", "targets")
+    done: list[DataFrame] = []
     for hop in range(HOPS):
         j = state.join(side, "cur", "left")
         hit = F.get(F.filter("targets", lambda x: x["year"] == F.col("year")), F.lit(0))["target"]
@@ -54,4 +58,10 @@ def ascend(requests: DataFrame, node: DataFrame, own: str, cut_every: int = 4) -
         )
         if hop % cut_every == cut_every - 1:
             state = materialise(state)
-    return state.drop("cur")
+            done.append(state.where("cur IS NULL"))
+            state = state.where("cur IS NOT NULL")
+            if state.isEmpty():
+                break
+    else:
+        done.append(state)
+    return reduce(DataFrame.unionByName, done).drop("cur")

@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fiscalspark import ops
 from fiscalspark.functions import codes
 from fiscalspark.operators.latest import latest_block
-from fiscalspark.operators.measures import money
+from fiscalspark.operators.measures import money, ratio
 from fiscalspark.plans import metrics, model
 from fiscalspark.sources.tables import table
 
@@ -73,6 +74,56 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Sources with the speed of what they tell and how often they come.
+SOURCES = {"igae_anexo_i": ("contable", "mensual"), "placsp": ("compromisos_juridicos", "diaria"), "bdns": ("compromisos_juridicos", "diaria"), "boe_sumario": ("decisiones_politicas", "diaria"), "consejo_ministros": ("decisiones_politicas", "semanal")}
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    """G-04, G-05: every source, also one without rows, with its rows, last capture, periods, and how far behind the newest capture of any
+    source it is (F-25)."""
+    known = spark.createDataFrame([(k, *v) for k, v in SOURCES.items()], "fuente_cod string, velocidad string, periodicidad string")
+    facts = freshness(spark, d).drop("velocidad")
+    month = F.date_format("fecha", "yyyy-MM")
+    texts = table(spark, d, "documents").where(F.col("source").isin("boe_sumario", "consejo_ministros")).groupBy(F.col("source").alias("fuente_cod")).agg(F.count("*").alias("n"), F.max("fecha").alias("ultima"), F.min(month).alias("desde"), F.max(month).alias("hasta"))
+    j = known.join(facts.unionByName(texts), "fuente_cod", "left").na.fill(0, ["n"])
+    newest = j.agg(F.max("ultima").alias("hoy")).withColumn("u", F.lit(1))
+    state = ops.light("ultima", "periodicidad", F.col("hoy"))
+    return j.withColumn("u", F.lit(1)).join(F.broadcast(newest), "u").select(*j.columns, state.alias("estado"))
+
+
+def against_last_year(year: int = metrics.YEAR):
+    """G-08: degree of each month of a year beside that of the same month a year before."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        keep = F.col("periodo").startswith(f"{year}-") | F.col("periodo").startswith(f"{year - 1}-")
+        s = metrics.sums(spark, d, "age", keep).withColumn("mes", F.substring("periodo", 6, 2).cast("int")).withColumn("pct", ratio("orn", "credito_definitivo", 100.0))
+        side = lambda y: F.round(F.max(F.when(F.col("periodo").startswith(f"{y}-"), F.col("pct"))), 4)
+        return s.groupBy("mes").agg(side(year).alias("pct"), side(year - 1).alias("pct_anterior"))
+
+    return query
+
+
+def largest_service(period: str = metrics.MONTH):
+    """G-08: the service of the largest final appropriation of each section in a period (the smallest code of several)."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        s = metrics.sums(spark, d, "servicio", F.col("periodo") == period).where("credito_definitivo IS NOT NULL")
+        best = s.groupBy("seccion_cod").agg(F.min(F.struct((-F.col("credito_definitivo")).alias("c"), F.col("servicio_cod").alias("s"))).alias("b"))
+        return best.select("seccion_cod", F.col("b.s").alias("servicio_cod"), (-F.col("b.c")).alias("credito_definitivo"))
+
+    return query
+
+
+def heads(n: int = 15):
+    """O-09: the n largest amounts of contracts by service in a year, ties by code."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        v = metrics.volume("contratos", "servicio")(spark, d)
+        return v.orderBy(F.desc_nulls_last("importe"), "seccion_cod", "servicio_cod").limit(n)
+
+    return query
+
+
 def health(spark: SparkSession, d: str) -> DataFrame:
     """G-06, A-18: months loaded and last capture of any table."""
     months = model.execution(spark, d).agg(F.countDistinct("periodo").alias("periodos"))
@@ -131,6 +182,7 @@ def unresolved(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "g01_ejercicios": years, "g02_secciones": sections, "g03_servicios": services, "g04_programas": programmes, "g04_economicas": economics, "k07_etiqueta_modal": modal_labels, "k03_periodos": periods, "k04_sin_dimension": unresolved,
     "g05_frescura": freshness, "g06_salud": health, "a05_cabeceras": tender_heads, "w04_ultima_foto": latest_photo, "w05_republicadas": republished, "w07_mes_anterior": previous_month, "o07_pagina": page(), "k22_revisiones": revisions,
+    "g04_fuentes": sources, "g08_serie_superpuesta": against_last_year(), "g08_mayor_credito": largest_service(), "o09_cabezas": heads(),
 }
 
 _m = metrics._money
@@ -160,4 +212,13 @@ SELECT concesion_id, a[2] AS primero, b[2] AS ultimo FROM g WHERE a[2] <> b[2]""
 n AS (SELECT fuente, fichero_cod, CASE WHEN regexp_matches(t, '^\d{1,2}/\d{4}$') THEN split_part(t, '/', 2) || '-' || lpad(split_part(t, '/', 1), 2, '0') ELSE left(t, 4) || '-' || lpad(ltrim(substr(t, 5), '-/'), 2, '0') END AS periodo,
   CASE WHEN regexp_matches(h, '^[0-9a-f]{16}$') THEN h END AS h FROM r), c AS (SELECT fuente, periodo, fichero_cod, count(DISTINCT h) AS v FROM n GROUP BY 1, 2, 3)
 SELECT fuente, periodo, count(*) AS ficheros, max(v) AS versiones FROM c WHERE v > 1 GROUP BY 1, 2""",
+    "g04_fuentes": f"""WITH k(fuente_cod, velocidad, periodicidad) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in SOURCES.items())}),
+f AS ({" UNION ALL ".join(f"SELECT fuente_cod, count(*) AS n, max(fecha_captura) AS ultima, min(periodo) AS desde, max(periodo) AS hasta FROM {t} GROUP BY 1" for t in FACTS)} UNION ALL
+  SELECT source, count(*), max(fecha), min(strftime(fecha, '%Y-%m')), max(strftime(fecha, '%Y-%m')) FROM documents WHERE source IN ('boe_sumario', 'consejo_ministros') GROUP BY 1),
+j AS (SELECT fuente_cod, velocidad, periodicidad, coalesce(n, 0) AS n, ultima, desde, hasta FROM k LEFT JOIN f USING (fuente_cod)),
+a AS (SELECT *, date_diff('day', ultima, (SELECT max(ultima) FROM j)) AS dias, CASE periodicidad {" ".join(f"WHEN '{k}' THEN {v}" for k, v in ops.CADENCE.items())} END AS tope FROM j)
+SELECT fuente_cod, velocidad, periodicidad, n, ultima, desde, hasta, CASE WHEN dias IS NULL THEN 'sin_datos' WHEN dias <= tope THEN 'verde' WHEN dias <= 2 * tope THEN 'ambar' ELSE 'rojo' END AS estado FROM a""",
+    "g08_serie_superpuesta": metrics._sums("age", f"left(periodo, 4) IN ('{metrics.YEAR}', '{metrics.YEAR - 1}')") + f", q AS (SELECT *, 100.0 * orn / nullif(credito_definitivo, 0) AS pct FROM s) SELECT CAST(substr(periodo, 6, 2) AS INT) AS mes, round(max(pct) FILTER (WHERE left(periodo, 4) = '{metrics.YEAR}'), 4) AS pct, round(max(pct) FILTER (WHERE left(periodo, 4) = '{metrics.YEAR - 1}'), 4) AS pct_anterior FROM q GROUP BY 1",
+    "g08_mayor_credito": metrics._sums("servicio", f"periodo = '{metrics.MONTH}'") + " SELECT seccion_cod, servicio_cod, credito_definitivo FROM s WHERE credito_definitivo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seccion_cod ORDER BY credito_definitivo DESC, servicio_cod) = 1",
+    "o09_cabezas": f"WITH {metrics._volume('contratos', 'servicio', metrics.YEAR)} SELECT * FROM v ORDER BY importe DESC NULLS LAST, seccion_cod, servicio_cod LIMIT 15",
 }
