@@ -37,7 +37,7 @@ def ascend(requests: DataFrame, node: DataFrame, own: str, cut_every: int = 4) -
     state = requests.select("code", "day", "year").distinct().join(first, "code", "left").join(F.broadcast(years), "year", "left")
     kind = node.schema["targets"].dataType.elementType["target"].dataType
     state = state.select("code", "day", "year", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("covered", F.lit(False)).alias("covered"), F.col("code").alias("cur"), F.lit(None).cast("string").alias("end"), F.col("code").alias("at"), F.lit(None).cast(kind).alias("target"))
-    side = node.select(F.col("code").alias("cur"), "versions", "targets")
+    side = materialise(node.select(F.col("code").alias("cur"), "versions", "targets"))
     done: list[DataFrame] = []
     for hop in range(HOPS):
         j = state.join(side, "cur", "left")

@@ -83,7 +83,12 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(unit_tree(spark, sf_dir).where("loop = 0")).select(F.col("ancestor").alias("dir3_cod"), F.col("descendant").alias("descendiente_cod"), F.col("distance").alias("distancia"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p4_report, p5_found, p5_descendants)}
+def p5_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit with every other unit below it, also on loops and below them, and the fewest links down to it."""
+    return hierarchy.descendants(unit_tree(spark, sf_dir)).select(F.col("ancestor").alias("dir3_cod"), F.col("descendant").alias("descendiente_cod"), F.col("distance").alias("distancia"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p4_found, p4_report, p5_found, p5_descendants, p5_below)}
 
 _KEY_SQL = "ejercicio AS e, TRY_CAST(trim(seccion_cod) AS INT) AS a, TRY_CAST(trim(servicio_cod) AS INT) AS b"
 _P2 = f"""
@@ -166,6 +171,11 @@ SELECT n.code AS dir3_cod, coalesce(down.raiz, '') AS raiz_cod, CAST(coalesce(do
   CASE WHEN down.d IS NOT NULL AND n.lv IS NOT NULL AND n.lv <> down.d THEN 1 ELSE 0 END AS nivel_difiere,
   CASE WHEN down.d IS NOT NULL THEN 0 WHEN onloop.code IS NOT NULL THEN 1 ELSE 2 END AS ciclo
 FROM n LEFT JOIN down USING (code) LEFT JOIN cnt USING (code) LEFT JOIN onloop USING (code)""",
+    "p5_below": _P5
+    + """, lv(code, anc, dist, seen) AS (
+  SELECT code, parent, 1, [code] FROM n WHERE parent IS NOT NULL
+  UNION ALL SELECT lv.code, n.parent, lv.dist + 1, list_append(lv.seen, lv.anc) FROM lv JOIN n ON lv.anc = n.code WHERE n.parent IS NOT NULL AND NOT list_contains(lv.seen, lv.anc))
+SELECT anc AS dir3_cod, code AS descendiente_cod, min(dist) AS distancia FROM lv WHERE anc <> code GROUP BY 1, 2""",
     "p5_descendants": _P5
     + """, lv(code, anc, dist) AS (
   SELECT code, parent, 1 FROM n WHERE parent IS NOT NULL

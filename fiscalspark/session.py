@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -63,6 +64,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like materialise, as a table in the shared checkpoint folder. For rounds that join a frame with itself: a checkpoint keeps the plan's
+    estimate of its size, which such joins square each time until planning takes longer than the work; a table has its own size."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of the session; the number of salts follows it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

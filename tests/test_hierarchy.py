@@ -83,3 +83,25 @@ def test_descendants_sum_to_below(spark, seed):
     rows = [tuple(r) for r in descendants(tree).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
     assert {r.code: r.below for r in tree.collect() if r.below} == {a: sum(x[0] == a for x in want) for a in {x[0] for x in want}}
+
+
+def test_a_tree_higher_than_the_peeling(spark):
+    """A long chain with leaves beside it, a loop with a long tail, against a walk along the links."""
+    links = {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(120)} | {f"l{i}": f"c{i * 7 % 120:03d}" for i in range(20)}
+    links |= {"r0": "r2", "r1": "r0", "r2": "r1"} | {f"t{i:02d}": f"t{i - 1:02d}" if i else "r1" for i in range(60)}
+    below = dict.fromkeys(links, 0)
+    want = {}
+    for x in links:
+        way, seen, at = [x], {x}, links[x]
+        while at is not None and at not in seen:
+            way.append(at)
+            seen.add(at)
+            at = links[at]
+        for a in way[1:]:
+            below[a] += 1
+        loop = 0 if at is None else 1 if at == x else 2
+        want[x] = ("/".join(reversed(way)) if not loop else "", len(way) if not loop else 0, loop)
+    rows = spark.createDataFrame([(k, p, 1, i) for i, (k, p) in enumerate(links.items())], "code string, parent string, level int, ord int")
+    got = {r.code: r for r in hierarchy(rows).collect()}
+    assert {k: (r.path, r.depth, r.loop) for k, r in got.items()} == want
+    assert {k: r.below for k, r in got.items()} == below
