@@ -34,6 +34,23 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def sent_file(spark, path: str) -> str:
+    """Send the vocabulary file with the session, so that executors need no folder of their own for it; gives its name."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_fiscalspark_files", None) or set()
+    if path not in sent:
+        sc.addFile(path)
+        sc._fiscalspark_files = sent | {path}
+    return os.path.basename(path)
+
+
+def sent_encoder(name: str):
+    """The encoder in a task, from the file that came with the session."""
+    from pyspark import SparkFiles
+
+    return encoder(SparkFiles.get(name))
+
+
 def cut_points(text: str, piece: int) -> list[int]:
     """Places where text can be cut without changing its encoding, at least piece characters apart where possible.
 
@@ -152,11 +169,11 @@ def encode_corpus(docs: DataFrame, path: str | None = None, piece: int = PIECE)
     where they are read, with no shuffle. Longer ones are cut into leaves that are encoded in parallel in other tasks and
     put together again by document, the ids of a document being one value of the result in any case.
     """
-    ship(docs.sparkSession)
-    file = path or f"{TOKENIZERS}/{BYTE_BPE}"
+    spark = ship(docs.sparkSession)
+    file = sent_file(spark, path or f"{TOKENIZERS}/{BYTE_BPE}")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
+        enc = sent_encoder(file)
         for b in batches:
             ids = [enc.encode_ordinary(t) if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), lists(ids)], names=["id", "ids"])
@@ -173,13 +190,13 @@ def encode_corpus(docs: DataFrame, path: str | None = None, piece: int = PIECE)
                 yield pa.RecordBatch.from_pydict({"id": [key] * n, "row": [row] * n, "pos": list(range(n)), "mended": [m for _, m in parts], "part": [t for t, _ in parts]}, pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("mended", pa.bool_()), ("part", pa.string())]))
 
     def encode_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
+        enc = sent_encoder(file)
         for b in batches:
             ids = [enc.encode_ordinary(t) for t in b.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "row", "pos", "mended")), lists(ids)], names=["id", "row", "pos", "mended", "ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
+        enc = sent_encoder(file)
         for b in batches:
             out = []
             for parts in b.column("parts").to_pylist():

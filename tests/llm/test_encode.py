@@ -54,3 +54,14 @@ def test_same_ids_as_the_other_library_and_round_trip(spark):
 
 def test_empty_table(spark):
     assert encode.encode_corpus(spark.createDataFrame([], "id long, text string")).collect() == []
+
+
+def test_texts_beyond_the_real_limit(spark):
+    """One long text with blanks, and one word longer than two pieces, each in more than one part at the size that production uses."""
+    rnd = random.Random(9)
+    word = "".join(rnd.choice("abcdefghijklmnop") for _ in range(2 * encode.PIECE + 5000))
+    text = " ".join("".join(rnd.choice("aeiourst") for _ in range(rnd.randrange(1, 9))) for _ in range(60_000))
+    assert len(word) > 2 * encode.PIECE < len(text) and len(encode.leaves(word, encode.PIECE)) > 1 < len(encode.leaves(text, encode.PIECE)) and any(m for _, m in encode.leaves(word, encode.PIECE))
+    df = spark.createDataFrame([(1, word), (2, text), (3, "corto")], "id long, text string")
+    got = {r.id: list(r.ids) for r in encode.encode_corpus(df).collect()}
+    assert got == {1: ENC.encode_ordinary(word), 2: ENC.encode_ordinary(text), 3: ENC.encode_ordinary("corto")}
