@@ -17,8 +17,9 @@ from fiscalspark.session import materialise, ship, spread
 
 #: Words in a template window, words of an item that a passage must hold, and how many of them may differ.
 WINDOW, PASSAGE, EDITS = 4, 20, 2
-#: Words of an item that its windows must cover within one stretch of a text before the exact check; stretches end at a gap.
-COVERED, GAP = 9, 25
+#: Words of an item that its windows cover at least within one stretch of a text that holds a passage: all it keeps, but for
+#: two runs that are too short for a window (EDITS changes leave EDITS + 1 runs). Stretches end at a gap.
+COVERED, GAP = PASSAGE - EDITS - EDITS * (WINDOW - 1), 25
 #: Words by which a passage may run ahead of the item or behind it, divided words and added ones together.
 DRIFT = 12
 #: Words in a row that a passage always keeps whole, however its EDITS lie.
@@ -209,7 +210,7 @@ class Items:
         out = []
         for n, found in hits.items():
             found += [(p, q) for p, at in phrases for q in at.get(n, ())]
-            if self._holds(n, sorted(found), w, raw):
+            if len(found) * WINDOW >= COVERED and self._holds(n, sorted(found), w, raw):
                 out.append(self.ids[n])
         return out
 
