@@ -6,9 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -104,10 +105,11 @@ def fits(df: DataFrame, rows: int = 100_000, size: int = 64 << 20) -> bool:
 
 
 def hot_keys(df: DataFrame, on: list[str], parts: int) -> DataFrame | None:
-    """Keys of df that hold more rows than one of ``parts`` tasks should have, None if there are none; at most 2 * parts of them. Keys
-    are counted before the shuffle."""
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = df.count()
+    """Keys of df that hold more rows than one of ``parts`` tasks should have, None if there are none; at most 2 * parts of them. Null
+    keys do not count. Keys are counted before the shuffle."""
+    keyed = df.dropna(subset=on).select(*on)
+    counts = keyed.groupBy(*on).agg(F.count("*").alias("_n"))
+    total = keyed.count()
     found = counts.where(F.col("_n") > max(total // (2 * parts), 10_000)).drop("_n").collect()
     return df.sparkSession.createDataFrame(found, df.select(*on).schema) if found else None
 
@@ -117,17 +119,21 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
     ``small`` is broadcast only if a count shows that it has at most ``broadcast_rows`` rows and 64 MB. Otherwise the keys of ``big``
     are counted, the rows of hot ones get a salt (hash of the whole row) and only their rows of ``small`` a copy per salt; all
-    other keys are joined as they are. Without ``split`` no key is counted: for a ``big`` whose keys are few rows each or
+    other keys are joined as they are; rows without key are spread. Without ``split`` no key is counted: for a ``big`` whose keys are few rows each or
     that costs too much to be read twice. ``how`` is inner, left or left_semi/left_anti seen from ``big``. Null keys match nothing.
     """
     if fits(small, broadcast_rows):
         return big.join(F.broadcast(small), on, how)
     n = min(32, width(big.sparkSession))
     hot = hot_keys(big, on, n) if split and n > 1 else None
+    spread_out = F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int")
+    # rows without key meet nothing, so they can lie anywhere
+    keyless = reduce(Column.__or__, [F.col(c).isNull() for c in on])
     if hot is None:
-        return big.join(small, on, how)
+        left, right = big.withColumn("_salt", F.when(keyless, spread_out).otherwise(0)), small.withColumn("_salt", F.lit(0))
+        return left.join(right, [*on, "_salt"], how).drop("_salt")
     marked = hot.withColumn("_hot", F.lit(True))
-    left = big.join(F.broadcast(marked), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(n)).cast("int")).otherwise(0)).drop("_hot")
+    left = big.join(F.broadcast(marked), on, "left").withColumn("_salt", F.when(F.col("_hot") | keyless, spread_out).otherwise(0)).drop("_hot")
     copies = F.when(F.col("_hot"), F.array(*[F.lit(i) for i in range(n)])).otherwise(F.array(F.lit(0)))
     right = small.join(F.broadcast(marked), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*on, "_salt"], how).drop("_salt")

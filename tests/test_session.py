@@ -23,7 +23,7 @@ def brute(big, small, how):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_join_with_a_hot_key_against_brute_force(spark, monkeypatch, how):
     rnd = random.Random(3)
-    big = [("h" if rnd.random() < 0.4 else rnd.choice("abcdefgz"), i) for i in range(400)] + [(None, 1), ("h", 7), ("h", 7)]
+    big = [("h" if rnd.random() < 0.4 else rnd.choice("abcdefgz"), i) for i in range(400)] + [(None, i) for i in range(60)] + [("h", 7), ("h", 7)]
     small = [(k, j) for k in "habcdef" for j in range(2)] + [(None, 5)]
     b, s = spark.createDataFrame(big, "k string, x int"), spark.createDataFrame(small, "k string, y int")
     split = []
