@@ -26,7 +26,7 @@ GAZETTE = (
     ("credito_extraordinario", r"creditos? extraordinario"),
     ("suplemento_credito", r"suplementos? de credito"),
     ("transferencia_credito", r"transferencias? de credito"),
-    ("subvencion_directa", r"concesion directa de (una |unas |la |las )?subvencion"),
+    ("subvencion_directa", r"concesion directa de (una |la |unas |las )?subvencion"),
     ("convocatoria_subvencion", r"^extracto|se convocan? .{0,40}(subvencion|ayudas)|convocatoria de (subvencion|ayudas)"),
     ("modificacion_credito", r"(ampliacion|generacion|incorporacion) de credito|modificacion .{0,40}credito"),
 )

@@ -61,17 +61,20 @@ def light(last: Column | str, cadence: Column | str, today: Column | None = None
     return F.when(age.isNull(), "sin_datos").when(age <= days, "verde").when(age <= days * 2, "ambar").otherwise("rojo")
 
 
+#: Kinds of failure by the classes of the errors that bring them about.
+FAILURES = {
+    "formato_cambiado": {"BadMonth", "SourceFormatError", "BadZipFile", "ParseError"},
+    "validacion_contable": {"RejectedLoad", "OrphanError", "ContractError"},
+    "respuesta_vacia": {"EmptySource"},
+    "fuente_no_disponible": {"TimeoutError", "ConnectionError"},
+    "error_carga": {"ConcurrentLoad", "PySparkException", "Py4JError"},
+}
+
+
 def failure_kind(error: BaseException) -> str:
-    """F-24: kind of a failure by the name of its class and its words."""
-    name, words = type(error).__name__.lower(), str(error).lower()
-    kinds = (
-        ("formato_cambiado", any(x in name for x in ("formato", "badmonth", "sourceformat")) or "layout" in words),
-        ("validacion_contable", any(x in name for x in ("coherence", "rejected", "orphan")) or "contable" in words),
-        ("respuesta_vacia", "empty" in name or "no rows" in words),
-        ("fuente_no_disponible", any(x in name for x in ("timeout", "transport", "connection"))),
-        ("error_carga", any(x in name for x in ("load", "analysis", "py4j")) or "load" in words),
-    )
-    return next((k for k, yes in kinds if yes), "error_publicacion")
+    """F-24: kind of a failure, by its class or one that it is made from."""
+    own = {c.__name__ for c in type(error).__mro__}
+    return next((k for k, classes in FAILURES.items() if own & classes), "error_publicacion")
 
 
 @dataclass(frozen=True)
@@ -108,6 +111,10 @@ class SourceFormatError(ValueError):
     """A source's file is not of the known shape."""
 
 
+class EmptySource(ValueError):
+    """A source's answer holds nothing."""
+
+
 def watched(source: str, partition: str | None, ledger: Ledger, work, raw: str | None = None):
     """Z-05: run the work of a source, note its attempt and its end in the ledger, and give what it gives; a failure is noted as an incident
     (under 'incidente') and raised on."""
