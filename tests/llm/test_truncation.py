@@ -92,3 +92,40 @@ def test_hazards_are_tested_against_the_exposure_of_the_neighbours(spark):
             if mean is not None and all_.count(x) > 2 and all_.count(x) > mean:
                 want |= {(s, unit, x): pytest.approx(mean) for unit in ("chars", "bytes")}
     assert got == want and ("one", "chars", 1) not in got and ("steep", "chars", 100) in got
+
+
+def test_many_texts_cut_at_the_same_place_are_no_ending(spark):
+    rows, _, _ = corpus(600, 3)
+    # each stub ends eight different texts: cut in the first word, in a later one, behind a word, and in a last line that only ends texts
+    stubs = [" La convoc", " La convocatoria tiene por obj", " La convocatoria", " El crédito del progr", "\nEl Subsec", "\nRef. SUB-1"]
+    full = [" La convocatoria tiene por objeto financiar proyectos de redes en los municipios colindantes.", "\nEl Subsecretario", "\nRef. SUB-12345/2024"]
+    rows = [(i, t, s) for i, t, s in rows if s == "b"]
+    texts = lambda ends, n, at: {at + 1000 * k + i: f"Se publica la relación {chr(97 + i // 20)}{chr(97 + i % 20)} para general conocimiento." + end for k, end in enumerate(ends) for i in range(n)}
+    cut, whole = texts(stubs, 8, 10_000), texts(full, 200, 20_000)
+    docs = spark.createDataFrame(rows + [(i, t, "c") for i, t in (cut | whole).items()], SCHEMA)
+    got = {r.doc_id for r in truncation.truncated(docs).collect()}
+    assert set(cut) <= got and not set(whole) & got
+
+
+def test_copies_of_the_corpus_change_nothing(spark):
+    # a divided word at the end of a line, and a title that no other text has, once in the corpus and once in each copy
+    odd = [(8000, "Se publica la relación.\nLa convo\ncatoria tiene por objeto las redes.", "b"), (8001, "El crédito asciende a mucho. La convo", "b"), (8002, "Índice de norias, vados y silos", "b"), (8003, "En norias, vados y silos que no constan se actuará.", "b")]
+    rows = corpus(300, 4)[0] + odd
+    of = lambda docs: {(r.doc_id, r.limite, r.rotura) for r in truncation.judged(spark.createDataFrame(docs, SCHEMA)).collect()}
+    once = of(rows)
+    assert of([(i + 100_000 * k, t, s) for k in range(8) for i, t, s in rows]) == {(i + 100_000 * k, a, b) for k in range(8) for i, a, b in once}
+
+
+def test_words_that_begin_as_the_last_one(spark):
+    texts = ["la comisión de valoración. La comida de hoy\nla com", "la comisión, y la com. fin", "ya la com"]
+    c = truncation.Contexts([truncation.tokens(t) for t in texts], {})
+    key, goes_on, stop, _ = c.counted()
+    at = [i for i, w in enumerate(c.words) if w == "com"]
+    found = {int(k): (int(a), int(b)) for k, a, b in zip(key, goes_on, stop)}
+    # behind 'la' where a line or sentence begins: comisión twice, comida once; the other two stand behind other words
+    assert [found.get(int(c.px[i : i + 1].view("int64")[0])) for i in at] == [(3, 0), (0, 1), None]
+
+
+def test_letters_of_a_very_long_word():
+    c = truncation.Contexts([["a" * 200_000, "b"]], {})
+    assert len(c.letters("px")[0]) == 200_000
